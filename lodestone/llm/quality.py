@@ -23,6 +23,10 @@ from lodestone.llm.text import encode
 
 SYMBOL_BYTES = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Prior chances of a good vote, an abstention and a bad vote: of any rule for a good
+#: document, of a bad class's leading rule, and of the other rules for a bad document.
+GOOD, LEADING, OTHER = (0.92, 0.078, 0.002), (0.05, 0.1, 0.85), (0.7, 0.15, 0.15)
+PRIOR_SHARE = 0.02
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "exclaims", "word_length", "alphabetic", "spread")
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, votes string"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -70,16 +74,17 @@ def judge(text: str | None) -> tuple:
     again = int(repeated(numbers).sum())
     upper = sum(w[:2].isupper() and len(w) > 1 for w in ids)
     exclaims = data.count(b"!")
-    alphabetic = sum(w.strip(b".,;:!?'\"()-").isalpha() or w[-1] > 127 or w[0] > 127 for w in ids)
+    plain = np.fromiter((w.strip(b".,;:!?'\"()-").isalpha() or not w.isascii() for w in ids), bool, len(ids))
+    alphabetic = int(np.bincount(numbers, minlength=len(ids))[plain].sum())
     mean = chars / n
     votes = "".join((
-        vote(symbols <= 0.02 * chars, symbols > 0.1 * chars),
-        vote(lines > 1 and not dup, 10 * dup > 3 * lines),
+        vote(symbols <= 0.02 * chars, symbols > 0.06 * chars),
+        vote(lines > 1 and not dup, dup > 2 and 10 * dup > 3 * lines),
         vote(again <= 0.1 * n, again > 0.3 * n),
         vote(upper <= 0.1 * len(ids), upper > 0.4 * len(ids)),
         vote(exclaims <= 0.01 * n, exclaims > 0.2 * n),
         vote(3 <= mean <= 8.5, mean < 2.2 or mean > 12),
-        vote(alphabetic > 0.9 * len(ids), alphabetic < 0.6 * len(ids)),
+        vote(alphabetic > 0.9 * n, alphabetic < 0.7 * n),
         vote(len(ids) > 0.25 * n, len(ids) < 0.08 * n),
     ))
     return n, chars, symbols, dup, again, n < 50 or 100 * again > 50 * n, votes
@@ -94,27 +99,35 @@ def evidence(text: Column) -> Column:
     return F.pandas_udf(run, SCHEMA)(text)
 
 
-def fit(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
+def fit(patterns: dict[str, int], rounds: int = 200) -> dict[str, float]:
     """Posterior probability of being good for each vote pattern.
 
-    A rule is right with an accuracy of its own; abstaining tells nothing.  EM starts from
-    accuracies of 0.8 and an even prior; accuracies stay in [0.55, 0.99], so that the two
-    classes can't change names."""
+    Documents are bad in different ways, and rules that fail together for one way say
+    nothing of another.  So the latent variable has a good class and one bad class for
+    each rule, led by that rule.  In each class every rule has its own chances of voting
+    good, bad or abstaining (its accuracy on that class), which EM estimates from the
+    counts and a prior worth PRIOR_SHARE of the corpus; the quality probability is that of
+    the good class."""
     if not patterns:
         return {}
     names = sorted(patterns)
-    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in names], float)
+    cast = np.array([[["+0-".index(c) == k for k in range(3)] for c in p] for p in names], float)  # pattern, rule, outcome
     n = np.array([patterns[p] for p in names], float)
-    accuracy, prior = np.full(v.shape[1], 0.8), 0.5
-    post = np.full(len(names), 0.5)
+    m = cast.shape[1]
+    belief = np.empty((m + 1, m, 3))
+    belief[0], belief[1:] = GOOD, OTHER
+    belief[1 + np.arange(m), np.arange(m)] = LEADING
+    no = cast[:, :, 2]
+    share = 0.9 * no / np.maximum(no.sum(1, keepdims=True), 1)
+    post = np.column_stack([np.where(no.any(1), 0.1, 0.95), np.where(no.any(1)[:, None], share, 0.05 / m)])
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + v @ weight)))
-        right = (n[:, None] * ((v > 0) * post[:, None] + (v < 0) * (1 - post[:, None]))).sum(0)
-        cast = (n[:, None] * (v != 0)).sum(0)
-        accuracy = np.clip((right + 8) / (cast + 10), 0.55, 0.99)
-        prior = float(np.clip((n * post).sum() / n.sum(), 0.05, 0.95))
-    return {p: float(x) for p, x in zip(names, post, strict=True)}
+        seen = np.einsum("pc,pro->cro", n[:, None] * post, cast) + PRIOR_SHARE * n.sum() * belief
+        chances = seen / seen.sum(2, keepdims=True)
+        prior = (n @ post + 1e-3 * n.sum()) / (n.sum() * (1 + 1e-3 * (m + 1)))
+        logs = np.log(prior) + np.einsum("pro,cro->pc", cast, np.log(chances))
+        post = np.exp(logs - logs.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+    return {p: float(x) for p, x in zip(names, post[:, 0], strict=True)}
 
 
 def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
