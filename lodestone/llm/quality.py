@@ -80,7 +80,7 @@ def judge(text: str | None) -> tuple:
     votes = "".join((
         vote(symbols <= 0.02 * chars, symbols > 0.06 * chars),
         vote(lines > 1 and not dup, dup > 2 and 10 * dup > 3 * lines),
-        vote(again <= 0.1 * n, again > 0.3 * n),
+        vote(again <= 0.1 * n, again > 0.45 * n),
         vote(upper <= 0.1 * len(ids), upper > 0.4 * len(ids)),
         vote(exclaims <= 0.01 * n, exclaims > 0.2 * n),
         vote(3 <= mean <= 8.5, mean < 2.2 or mean > 12),

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality
+from lodestone.llm import mixing, quality, toxicity
 from lodestone.llm.text import remainder, table
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = docs.filter(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
+    model = toxicity.fit(learn.join(labels.select("doc_id", "toxic"), "doc_id"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    t = F.col("_toxicity")
+    columns = scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), t["score"].alias("score"), t["n_spans"].alias("n_spans"), F.to_json(t["spans"]).alias("spans"))
+    return columns.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.assign(docs)
@@ -26,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_crf_toxicity": op1_crf_toxicity,
         "op5_curriculum_mix": op5_curriculum_mix,
         "op10_quality_rules": op10_quality_rules,
     }
