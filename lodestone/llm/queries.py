@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality, toxicity
+from lodestone.llm import minhash, mixing, quality, toxicity
 from lodestone.llm.text import remainder, table
 
 
@@ -28,6 +28,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position")).orderBy("position", "doc_id")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("_quality")
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_toxicity": op1_crf_toxicity,
         "op5_curriculum_mix": op5_curriculum_mix,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
