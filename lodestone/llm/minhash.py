@@ -52,8 +52,7 @@ def shingles(words: list[bytes], vocabulary: Vocabulary, width: int = WIDTH) ->
     """The sorted distinct hashes of a text's shingles."""
     if not words:
         return np.zeros(0, np.uint64)
-    numbers = vocabulary.numbers(words)
-    hashes = vocabulary.hashes[numbers]
+    hashes = vocabulary.hashed(words)
     if len(words) < width:
         return windows(np.append(hashes, np.uint64(len(words))), len(words) + 1)
     return np.unique(windows(hashes, width))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html_extract, langid, minhash, mixing, quality, toxicity, warc
+from lodestone.llm import chat, decontaminate, html_extract, langid, minhash, mixing, quality, toxicity, warc
 from lodestone.llm.text import remainder, table
 
 
@@ -25,6 +25,11 @@ def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op4_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_toxicity": op1_crf_toxicity,
         "op2_template_removal": op2_template_removal,
+        "op3_benchmark_leaks": op3_benchmark_leaks,
         "op4_chat_template": op4_chat_template,
         "op5_curriculum_mix": op5_curriculum_mix,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,

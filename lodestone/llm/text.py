@@ -7,10 +7,11 @@ bytes give the contract's words without a regular expression.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
-import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,12 @@ class Vocabulary:
             self._hash_new(before)
         return out
 
-    def _hash_new(self, before: int) -> None:
-        import itertools
-
-        import xxhash
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """The 64-bit hash of each word."""
+        numbers = self.numbers(words)
+        return self.hashes[numbers]
 
+    def _hash_new(self, before: int) -> None:
         n = len(self.ids)
         if n > len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros(max(n, 2 * len(self.hashes)) - len(self.hashes), np.uint64)])
@@ -103,7 +105,3 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
