@@ -2,6 +2,10 @@
 
 Each stage function takes (spark, docs, sf_dir) and returns what it keeps, with the
 columns of documents; the last returns the training stream.
+
+Null and repeated rows: a stage judges each row by its own text; the near-dedup stage keeps
+one row of each group (of rows with the smallest doc_id, the one with the smallest text
+hash), and rows without words are no group.  Extra columns of documents pass through.
 """
 
 from __future__ import annotations
@@ -12,22 +16,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality
-from lodestone.llm.text import shared_dir, table
+from lodestone.llm import decontaminate, minhash, mixing, quality, toxicity
+from lodestone.llm.text import cut, shared_dir, table
 
+#: Votes, learned taggers, sketches and alignments can't be stated in SQL.
 ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules keep."""
     return quality.assess(docs).filter(F.col("_quality.kept")).drop("_quality")
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a tagger learned from all labels doesn't score as toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return docs.filter(toxicity.tag(model, F.col("text"), spans=False)["score"] < 0.5)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, five-word shingles at 0.8 or more."""
+    groups = minhash.components(docs.select("doc_id", "text"), percent=80)
+    gone = cut(groups.filter(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of test items."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select("doc_id", "text", "source")).select("position", "doc_id", "source", "size")
+    """The training stream: a row for each copy that the mix takes, by position."""
+    return mixing.mix(docs.select("doc_id", "text", "source")).select("position", "doc_id", "source", "size", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules),
+    ("toxicity", toxic),
+    ("near_dedup", dedup),
+    ("decontamination", decontaminated),
     ("mixing", curriculum),
 ]
 

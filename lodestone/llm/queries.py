@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, html_extract, langid, minhash, mixing, quality, toxicity, warc
+from lodestone.llm import chat, decontaminate, html_extract, langid, minhash, mixing, pitman_yor, quality, toxicity, warc
 from lodestone.llm.text import remainder, table
 
 
@@ -55,6 +55,12 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "l.lang_pred", "l.score")
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 10) != 0).alias("learn"))
+    scored, tokens = pitman_yor.score(docs)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_curriculum_mix": op5_curriculum_mix,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_byte_cnn_language": op7_byte_cnn_language,
+        "op8_pitman_yor_scores": op8_pitman_yor_scores,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_quality_rules": op10_quality_rules,
     }
