@@ -5,7 +5,7 @@ columns of documents; the last returns the training stream.
 
 Null and repeated rows: a stage judges each row by its own text; the near-dedup stage keeps
 one row of each group (of rows with the smallest doc_id, the one with the smallest text
-hash), and rows without words are no group.  Extra columns of documents pass through.
+hash) and all rows without a doc_id.  Extra columns of documents pass through.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, minhash, mixing, quality, toxicity
@@ -39,7 +39,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, five-word shingles at 0.8 or more."""
     groups = minhash.components(docs.select("doc_id", "text"), percent=80)
     gone = cut(groups.filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return kept.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated.select(kept.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

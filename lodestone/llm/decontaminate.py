@@ -20,10 +20,12 @@ table on either side gives an empty result; null ids are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,47 +181,45 @@ def blocks(benchmark: DataFrame) -> list[list[tuple[int | None, list[bytes]]]]:
     return out
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The seed index of each block of items, broadcast; its size has a bound."""
+    for items in blocks(benchmark):
+        wanted = {w for _, words in items for w in words}
+        counts, total = word_counts(docs, wanted) if wanted else ({}, 0)
+        yield docs.sparkSession.sparkContext.broadcast(Index(items, counts, total))
+
+
+def finder(index: Broadcast):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, seeds = Vocabulary(), index.value
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for item_id, score, a, b in seeds.find(vocabulary.hashed(words_of(text))):
+                    out.append((None if pd.isna(doc_id) else int(doc_id), item_id, round(score, 6), a, b))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+            yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "start_word": "int32", "end_word": "int32"})
+
+    return run
+
+
+def leaking(index: Broadcast):
+    def run(texts: pd.Series) -> pd.Series:
+        vocabulary, seeds = Vocabulary(), index.value
+        return pd.Series([bool(seeds.find(vocabulary.hashed(words_of(t)))) for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """FOUND rows: each document and test item that align, with the share of the item's
     length that the alignment scores and its place in the document's words."""
-    spark = docs.sparkSession
-    found = None
-    for items in blocks(benchmark):
-        counts, total = word_counts(docs, {w for _, words in items for w in words}) if any(w for _, w in items) else ({}, 0)
-        index = spark.sparkContext.broadcast(Index(items, counts, total))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            vocabulary, seeds = Vocabulary(), index.value
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
-                    words = words_of(text)
-                    if len(words) < SHORTEST or not seeds.items:
-                        continue
-                    for item_id, score, a, b in seeds.find(vocabulary.hashed(words)):
-                        out.append((None if pd.isna(doc_id) else int(doc_id), item_id, round(score, 6), a, b))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "start_word": "int32", "end_word": "int32"})
-
-        part = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, FOUND)
-        found = part if found is None else found.unionByName(part)
-    return found
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [texts.mapInPandas(finder(i), FOUND) for i in indexes(docs, benchmark)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that match an item.  Each row's text is judged where it is."""
-    out = docs
-    for items in blocks(benchmark):
-        counts, total = word_counts(docs, {w for _, words in items for w in words}) if any(w for _, w in items) else ({}, 0)
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, counts, total))
-
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
-            vocabulary, seeds = Vocabulary(), index.value
-            found = []
-            for text in texts:
-                words = words_of(text)
-                found.append(bool(len(words) >= SHORTEST and seeds.items and seeds.find(vocabulary.hashed(words))))
-            return pd.Series(found, dtype=bool)
-
-        out = out.filter(~F.pandas_udf(leaks, "boolean")("text"))
-    return out
+    for index in indexes(docs, benchmark):
+        docs = docs.filter(~leaking(index)("text"))
+    return docs
