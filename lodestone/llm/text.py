@@ -7,7 +7,6 @@ bytes give the contract's words without a regular expression.
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 
 import numpy as np
@@ -44,35 +43,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Vocabulary:
-    """Word to dense number, and the 64-bit hash of each word.
+class Vocabulary(dict):
+    """The 64-bit hash of each word, remembered.
 
     Forgets everything once it holds `most` words, so a worker's memory stays bounded."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.ids, self.hashes = most, {}, np.zeros(1024, np.uint64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        ids = self.ids
-        if len(ids) > self.most:
-            ids.clear()
-        before = len(ids)
-        out = np.fromiter([ids.setdefault(w, len(ids)) for w in words], np.int64, len(words))
-        if len(ids) > before:
-            self._hash_new(before)
-        return out
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
-        """The 64-bit hash of each word."""
-        numbers = self.numbers(words)
-        return self.hashes[numbers]
-
-    def _hash_new(self, before: int) -> None:
-        n = len(self.ids)
-        if n > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(n, 2 * len(self.hashes)) - len(self.hashes), np.uint64)])
-        fresh = itertools.islice(self.ids, before, n)
-        self.hashes[before:n] = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), np.uint64, n - before)
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
