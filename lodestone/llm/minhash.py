@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.text import Vocabulary, cut, mix64, windows, words_of
 
 WIDTH = 5
-ROUNDS = 3
-SLACK = 0.15
+ROUNDS = 6
+SLACK = 0.12
 LAST = (1 << 63) - 1
 ROW = "id long, n long, fp binary, bands array<long>, sig array<long>"
 KEY = "struct<id:bigint,fp:binary>"
@@ -188,38 +188,38 @@ def components(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFr
     rows = cut(sketch(docs, percent, width))
     nodes = rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.select(F.struct("id", "fp").alias("node"), "n", "bands", "sig"))
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.withColumn("_c", F.count("*").over(Window.partitionBy("bucket"))).filter("_c > 1").drop("_c")
-    shared = cut(shared)
+    member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = cut(member.withColumn("_c", F.count("*").over(Window.partitionBy("bucket"))).filter("_c > 1").drop("_c"))
     suspects = shared.select("node").distinct()
-    sketches = cut(nodes.select("node", "n", "sig").join(suspects, "node"))
-    sets = None
+    sketches = cut(nodes.join(suspects, "node"))
+    sets = cut(full_sets(docs, suspects, width))
     links: list[DataFrame] = []
     label = None
     for k in range(ROUNDS + 1):
         labelled = shared.withColumn("component", F.col("node"))
         if label is not None:
-            named = shared.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+            named = shared.join(label, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
             at = Window.partitionBy("bucket")
             labelled = cut(named.withColumn("_lo", F.min("component").over(at)).withColumn("_hi", F.max("component").over(at)).filter("_lo != _hi").drop("_lo", "_hi"))
             if labelled.isEmpty():
                 break
         if k < ROUNDS:
-            rank = F.col("node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"))
-            pivot = F.min(F.struct(rank.alias("r"), "node", "component")).over(Window.partitionBy("bucket"))
+            # The pivot is one of the component with the smallest label, mostly the largest:
+            # at first its smallest node, later others, four for a group of buckets.
+            other = F.xxhash64("node", F.pmod("bucket", F.lit(4)), F.lit(k)) if k else F.lit(0).cast("long")
+            pivot = F.min(F.struct("component", other.alias("r"), "node")).over(Window.partitionBy("bucket"))
             pairs = labelled.withColumn("p", pivot).filter(F.col("p.component") != F.col("component"))
             pairs = pairs.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
-            x, y = sketches.alias("x"), sketches.alias("y")
+            x, y = (sketches.select("node", "n", "sig").alias(s) for s in "xy")
             pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(promising("x", "y", percent)).select("a", "b")
         else:
             left = labelled.join(sketches, "node")
             x, y = left.alias("x"), left.alias("y")
-            condition = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & promising("x", "y", percent)
-            pairs = x.join(y, condition).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = cut(pairs)
-        if sets is None:
-            sets = cut(full_sets(docs, suspects, width))
-        links.append(cut(confirmed(pairs, sets, percent)))
+            # Of the buckets that two nodes share, the first one emits them.
+            first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
+            condition = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & first & promising("x", "y", percent)
+            pairs = x.join(y, condition).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        links.append(cut(confirmed(cut(pairs), sets, percent)))
         label = cut(connected(reduce(DataFrame.union, links)))
     out = rows.select("id", "n", "fp").join(nodes.select("node.fp", F.col("node")), "fp", "left")
     if label is not None:
