@@ -31,7 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a tagger learned from all labels doesn't score as toxic."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
     return docs.filter(toxicity.tag(model, F.col("text"), spans=False)["score"] < 0.5)
 
 

@@ -14,7 +14,7 @@ from lodestone.llm.text import remainder, table
 def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = docs.filter(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
-    model = toxicity.fit(learn.join(labels.select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.fit(learn, labels.select("doc_id", "toxic"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     t = F.col("_toxicity")
     columns = scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), t["score"].alias("score"), t["n_spans"].alias("n_spans"), F.to_json(t["spans"]).alias("spans"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 3000
+SAMPLE = 1000
 SEGMENT = 64
 BUCKETS = 1 << 17
 WIDTH = 7
@@ -232,22 +232,21 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.
     return model
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """From rows of (doc_id, text, toxic): at most `sample` of each class, chosen by a hash
-    of doc_id, so that the same table gives the same model."""
-    picked = None
-    base = labelled.filter(F.col("toxic").isNotNull()).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """From docs (doc_id, text) and labels (doc_id, toxic): at most `sample` documents of
+    each class, chosen by a hash of doc_id, so that the same tables give the same model.
+    Only ids are joined and sorted; texts are read for the chosen ones."""
+    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    there = docs.select("doc_id").join(known, "doc_id")
+    ids: dict[int, int] = {}
     for y in (0, 1):
-        part = base.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic")
-        picked = part if picked is None else picked.unionByName(part)
-    ids = {}
-    for doc_id, y in picked.collect():
-        ids.setdefault(doc_id, y)
+        ids |= {r[0]: y for r in there.filter(F.col("y") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     if not ids:
         return train([])
-    chosen = labelled.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
-    texts = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
-    return train([(r[1], r[2]) for r in sorted(texts.collect(), key=lambda r: r[0])])
+    chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sorted(((r[0], r[1] or "", r[2]) for r in texts.select("doc_id", "text", "y").collect()), key=lambda r: (r[0], r[1]))
+    return train([(t, y) for _, t, y in {r[0]: r for r in reversed(rows)}.values()])
 
 
 def tag(model: Model, text: Column, spans: bool = True) -> Column:
