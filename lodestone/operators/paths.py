@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import cut
+
 MOST_NODES, MOST_PATHS = 8, 5
 
 
 def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """Every simple path (src, dst edges; node columns of sources and targets), as an
     array: it ends at the first target after its source and has at most most_nodes nodes."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     goals = targets.select(F.col("node").alias("goal")).distinct()
     near = [goals.select(F.col("goal").alias("node"))]
     for _ in range(most_nodes - 1):
         back = edges.join(near[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"))
-        near.append(near[-1].union(back).distinct())
+        near.append(cut(near[-1].union(back).distinct()))
     walk = sources.select("node").distinct().select(F.array("node").alias("path"), F.col("node").alias("last"))
     found = None
     for depth in range(2, most_nodes + 1):
@@ -28,7 +30,7 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes:
         step = edges.join(reach, F.col("dst") == F.col("node"), "left_semi")
         longer = walk.join(step, F.col("last") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
         longer = longer.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        flagged = longer.join(goals, F.col("last") == F.col("goal"), "left")
+        flagged = cut(longer.join(goals, F.col("last") == F.col("goal"), "left"))
         done = flagged.filter("goal IS NOT NULL").select("path")
         walk = flagged.filter("goal IS NULL").select("path", "last")
         found = done if found is None else found.union(done)

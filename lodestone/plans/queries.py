@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions.shared import cut
 from lodestone.operators import chunk, graph, paths, search, symbols, vectors
 from lodestone.plans import corpora
 from lodestone.plans.corpora import CODE_SQL, DOCUMENTS_SQL, IMPORTS_SQL, table
@@ -35,18 +36,18 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Source lines and symbols of the rendered code."""
-    files = corpora.code(spark, sf_dir)
+    files = cut(corpora.code(spark, sf_dir))
     lines = symbols.source_lines(files)
-    return lines, graph.symbols(symbols.definitions(lines), chunk.blocks(files))
+    return lines, cut(graph.symbols(symbols.definitions(lines), chunk.blocks(files)))
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, syms = _code(spark, sf_dir)
-    return syms, graph.call_edges(symbols.call_tokens(lines), syms)
+    return syms, cut(graph.call_edges(symbols.call_tokens(lines), syms))
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.code(spark, sf_dir).select("file_id", "rel", "content")
+    files = cut(corpora.code(spark, sf_dir))
     return graph.import_edges(graph.resolve(symbols.imports(symbols.source_lines(files)), files.select("file_id", "rel")))
 
 
