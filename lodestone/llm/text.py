@@ -7,13 +7,14 @@ bytes give the contract's words without a regular expression.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import cut, shared_dir
+
+__all__ = ["LINK", "WORD", "Vocabulary", "cut", "encode", "mix64", "remainder", "shared_dir", "table", "windows", "words_of"]
 WORD = r"[^\x20\x09-\x0D]+"
 LINK = 0x9E3779B97F4A7C15
 
@@ -73,22 +74,5 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed and written once to the shared folder."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
