@@ -200,13 +200,15 @@ class Parser:
     def level(self, n: int):
         if n == len(self.LEVELS):
             return self.unary()
+        if n == 2 and self.peek() == "not":  # binds less than comparisons
+            return Unary(self.tokens.pop(0)[1], self.level(n))
         a = self.level(n + 1)
         while self.peek() in self.LEVELS[n]:
             a = Binary(self.tokens.pop(0)[1], a, self.level(n + 1))
         return a
 
     def unary(self):
-        if self.peek() in ("not", "-"):
+        if self.peek() == "-":
             return Unary(self.tokens.pop(0)[1], self.unary())
         if not self.tokens:
             raise TemplateError("expression ends early")
@@ -269,7 +271,10 @@ def fold(node, filters):
     if isinstance(node, Binary):
         a, b = fold(node.a, filters), fold(node.b, filters)
         if isinstance(a, Const) and isinstance(b, Const):
-            return Const(OPS[node.op](a.value, b.value))
+            try:
+                return Const(OPS[node.op](a.value, b.value))
+            except TypeError as e:
+                raise TemplateError(str(e)) from e
         return Binary(node.op, a, b)
     if isinstance(node, Unary):
         a = fold(node.a, filters)
