@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SAMPLE = 1000
 SEGMENT = 64
 BUCKETS = 1 << 17
-WIDTH = 7
+WIDTH = 6
 TOKEN = re.compile(r"\S+")
 TRIM = ".,;:!?'\"()[]{}<>*#%$&|-_~`«»…"
 SPANS = "score double, n_spans int, spans array<struct<start:int,end:int,marginal:double>>"
@@ -47,7 +47,7 @@ def affixes(word: str) -> list[str]:
 def features(word: str) -> list[int]:
     import xxhash
 
-    names = [*affixes(word), "$" + word[-3:], "#" + str(min(len(word), 12)), "@" + ("a" if word.isalpha() else "x")]
+    names = [*affixes(word), "$" + word[-3:], "1"]
     rows = [1 + xxhash.xxh32_intdigest(x) % (BUCKETS - 1) for x in names]
     return rows + [0] * (WIDTH - len(rows))
 
