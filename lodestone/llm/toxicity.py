@@ -157,19 +157,22 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 def seeds(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Words and prefixes that mark toxic documents: at least three quarters of what is
-    expected at equal class sizes lies in toxic ones, beyond chance (log-likelihood ratio)."""
+    expected at equal class sizes lies in toxic ones, beyond chance (a log-likelihood ratio
+    above the logarithm of the number of features tried).  Equal texts count once."""
     count: dict[str, list[int]] = {}
-    for tokens, t in zip(texts, toxic, strict=True):
+    once = {tuple(tokens): (tokens, t) for tokens, t in zip(texts, toxic, strict=True)}
+    for tokens, t in once.values():
         for a in {a for w in {normal(w) for w in tokens} if len(w) >= 3 for a in affixes(w)}:
             count.setdefault(a, [0, 0])[int(t)] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    tests = sum(c0 + c1 >= 3 for c0, c1 in count.values())
     found = set()
     for a, (c0, c1) in count.items():
         if c1 < 3 or c1 / n1 < 9 * c0 / n0:
             continue
         rate = (c0 + c1) / (n0 + n1)
         gain = c1 * np.log(c1 / n1 / rate) + (c0 * np.log(c0 / n0 / rate) if c0 else 0.0)
-        if gain > 4.5 + 0.5 * np.log(len(count)):
+        if gain > 2 + np.log(max(2, tests)):
             found.add(a)
     return found
 
