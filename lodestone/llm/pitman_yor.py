@@ -30,6 +30,7 @@ all tokens are unknown and get log10 of NEW (base: log10(0.1 / 0.1) = 0).
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -279,15 +280,33 @@ def answer(b: Bucket, g: np.ndarray, totals: np.ndarray, seed: int, bucket: int)
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
+def by_bucket(sent: DataFrame, of, schema: str) -> DataFrame:
+    """Rows that of(Bucket, number) makes of each bucket.  `sent` has all rows of a bucket
+    together and next to each other, so no exchange is needed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for number, rows in batch.groupby("bucket", sort=True):
+                if held and held[0]["bucket"].iloc[0] != number:
+                    yield of(Bucket(pd.concat(held)), int(held[0]["bucket"].iloc[0]))
+                    held = []
+                held.append(rows)
+        if held:
+            yield of(Bucket(pd.concat(held)), int(held[0]["bucket"].iloc[0]))
+
+    return sent.mapInPandas(run, schema)
+
+
 def gathered(sent: DataFrame, of, keys: int) -> np.ndarray:
     """Sums over buckets of what `of` gives: a fixed number of keys, combined in Spark."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = of(Bucket(rows), int(rows["bucket"].iloc[0]))
+    def run(b: Bucket, number: int) -> pd.DataFrame:
+        found = of(b, number)
         return pd.DataFrame({"k": list(found), "x": [float(x) for x in found.values()]})
 
     out = np.zeros(keys)
-    for k, x in sent.groupBy("bucket").applyInPandas(run, "k int, x double").groupBy("k").agg(F.sum("x")).collect():
+    for k, x in by_bucket(sent, run, "k int, x double").groupBy("k").agg(F.sum("x")).collect():
         out[k] = x
     return out
 
@@ -302,7 +321,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         return send(int(rows["block"].iloc[0]), rows["text"].tolist(), rows["learn"].to_numpy(bool), n)
 
-    sent = cut(blocked.groupBy("block").applyInPandas(asks, SENT))
+    sent = cut(blocked.groupBy("block").applyInPandas(asks, SENT).repartition("bucket").sortWithinPartitions("bucket", "block"))
     g = gathered(sent, lambda b, _: b.counts(), 2 * CLASSES + 6)
 
     def table_totals(b: Bucket, bucket: int) -> dict[int, float]:
@@ -315,9 +334,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
     totals = gathered(sent, table_totals, SAMPLES * (CLASSES + 1))
     _, _, big_n, v = discounts(g)
 
-    def replies(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(rows["bucket"].iloc[0])
-        return answer(Bucket(rows), g, totals, bucket, bucket)
+    def replies(b: Bucket, bucket: int) -> pd.DataFrame:
+        return answer(b, g, totals, bucket, bucket)
 
     def adds(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
@@ -336,5 +354,5 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
         out["score"] = np.add.reduceat(logs[cell], first)
         return out
 
-    answers = sent.groupBy("bucket").applyInPandas(replies, ANSWER)
+    answers = by_bucket(sent, replies, ANSWER)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(adds, SCORED), int(big_n)
