@@ -84,5 +84,5 @@ calls AS (SELECT DISTINCT src, dst FROM linked WHERE src <> dst AND (n = 1 OR df
 
 IMPORTS_SQL = """
 imports AS (SELECT a.file_id AS from_id, b.file_id AS to_id FROM ext a JOIN ext b ON b.file_id = (3 * a.file_id + 1) % 20
-  WHERE a.file_id <> b.file_id AND a.ext <> 'java' AND (a.ext = 'rs' OR b.ext <> 'java'))
+  WHERE a.file_id <> b.file_id AND (a.ext = 'rs' OR b.ext <> 'java'))
 """

@@ -195,7 +195,7 @@ def import_edges(spark, sf_dir):
     return _imports(spark, sf_dir)
 
 
-@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT from_id, CASE a.ext WHEN 'rs' THEN 'm' || to_id WHEN 'ts' THEN '../d' || (to_id % 3) || '/m' || to_id WHEN 'go' THEN 'example.com/r/d' || (to_id % 3) || '/m' || to_id ELSE 'd' || (to_id % 3) || '.m' || to_id END AS spec, to_id FROM (SELECT a.file_id AS from_id, b.file_id AS to_id FROM ext a JOIN ext b ON b.file_id = (3 * a.file_id + 1) % 20 WHERE a.ext <> 'java' AND (a.ext = 'rs' OR b.ext <> 'java')) JOIN ext a ON a.file_id = from_id")
+@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT from_id, CASE a.ext WHEN 'rs' THEN 'm' || to_id WHEN 'ts' THEN '../d' || (to_id % 3) || '/m' || to_id WHEN 'go' THEN 'example.com/r/d' || (to_id % 3) || '/m' || to_id ELSE 'd' || (to_id % 3) || '.m' || to_id END AS spec, to_id FROM (SELECT a.file_id AS from_id, b.file_id AS to_id FROM ext a JOIN ext b ON b.file_id = (3 * a.file_id + 1) % 20 WHERE a.ext = 'rs' OR b.ext <> 'java') JOIN ext a ON a.file_id = from_id")
 def resolve_imports(spark, sf_dir):
     files = corpora.code(spark, sf_dir).select("file_id", "rel", "content")
     return graph.resolve(symbols.imports(symbols.source_lines(files)), files.select("file_id", "rel"))
