@@ -1,8 +1,8 @@
 """Language-model scores of a hierarchical Pitman-Yor model over words.
 
 Tokens of a text are its words, A-Z lower-cased, and one end.  There is a restaurant for
-each of CLASSES contexts (the class of the previous word, by a hash of its last two bytes,
-and one for the start), and all share one parent restaurant, whose base distribution knows
+each previous word (and one for the start of a text, named by the end before it), and all
+share one parent restaurant, whose base distribution knows
 the V training tokens and one unknown token (which gets NEW of the base, as new draws are
 mostly new words).  Customers are tokens of the training texts; each table of a context
 restaurant is a customer of the parent.
@@ -15,12 +15,14 @@ sweeps after BURN ones.  Discounts come from the counts of cells with one and tw
 and of dishes with one and two contexts, over all training texts.
 
 Data flow: texts are cut into blocks of about BLOCK bytes.  A block sends its distinct
-cells with counts, packed by hash of the dish, to one of as many buckets; a bucket has all
-cells of its dishes, samples their seating, and answers each block in the order it asked;
-a block then adds up its texts.  So what moves is distinct cells of blocks, twice, and the
-texts; hot dishes are at most CLASSES cells of a block.  Sampling is seeded by bucket and
-repeated for the exact table totals before the answers, which makes the averaged
-probabilities sum to one over the V + 1 tokens.
+cells (context, dish, count), packed by hash of the dish, to one of as many buckets; a
+bucket has all cells of its dishes, samples their seating, and answers each block in the
+order it asked; a block then adds up its texts.  Sums over a context lie in many buckets:
+each bucket sends its own, by hash of the context, and gets the whole ones back (customers
+and cells before sampling, tables of each kept sweep before the answers).  So what moves
+is distinct cells of blocks, twice, the contexts of buckets, twice, and the texts.
+Sampling is seeded by bucket and repeated for the exact table totals before the answers,
+which makes the averaged probabilities sum to one over the V + 1 tokens.
 
 Defined results: null and empty texts are one end token; repeated rows are scored alike
 and each counts in training; an empty table gives an empty result; with no training text
@@ -29,7 +31,6 @@ all tokens are unknown and get log10 of NEW (base: log10(0.1 / 0.1) = 0).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text import cut, words_of
 
-CLASSES = 64
+#: Contexts are words, so no classes of them take room in the gathered sums.
+CLASSES = 0
 THETA = 1.0
 NEW = 0.9
 BLOCK = 16 << 20
@@ -48,15 +50,20 @@ SMALL = 128
 MOVES = 6
 BURN, SAMPLES = 2, 3
 SENT = "bucket int, block int, words binary, cells binary, contexts binary, counts binary"
+OFFERED = "slice int, bucket int, names binary, sums binary"
+TOTALS = "bucket int, names binary, sums binary"
 ANSWER = "block int, bucket int, seen binary, logs binary"
 SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
 END = b""
+#: Names, among contexts, of sums over everything: of the parent's tables, and of cells or
+#: the parent's customers.
+PARENT, WHOLE = np.uint64(0), np.uint64(1)
 
 
 def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: hashes of its distinct tokens in rising order, then for every token of
-    every text (texts one after another) its place in them and its context class, and the
-    number of tokens of each text."""
+    every text (texts one after another) its place in them and the hash of its context, the
+    token before (an end before a text's first), and the number of tokens of each text."""
     ids: dict[bytes, int] = {END: 0}
     parts, lengths = [], np.empty(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -68,10 +75,8 @@ def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     n = len(ids)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, n)
-    classes = np.fromiter((1 + zlib.crc32(w[-2:]) % (CLASSES - 1) for w in ids), np.int16, n)
-    context = np.zeros(len(flat), np.int16)
-    context[1:] = classes[flat[:-1]]
-    context[(np.cumsum(lengths) - lengths)[: len(lengths)]] = 0
+    context = np.full(len(flat), hashes[0], np.uint64)
+    context[1:] = hashes[flat[:-1]]
     order = np.argsort(hashes)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
@@ -88,7 +93,7 @@ def cells_of(hashes: np.ndarray, place: np.ndarray, context: np.ndarray, buckets
     order = np.argsort(bucket_of(hashes, buckets), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    keys, cell = np.unique(rank[place] * CLASSES + context, return_inverse=True)
+    keys, cell = np.unique(rank[place] * len(hashes) + np.searchsorted(hashes, context), return_inverse=True)
     return order, keys, cell
 
 
@@ -97,15 +102,16 @@ def send(block: int, texts: list[str | None], learn: np.ndarray, buckets: int) -
     hashes, place, context, lengths = layout(texts)
     order, keys, cell = cells_of(hashes, place, context, buckets)
     counts = np.bincount(cell, np.repeat(learn, lengths).astype(float), len(keys)).astype(np.uint32)
-    token = keys // CLASSES
-    per_token = np.bincount(token, minlength=len(hashes)).astype(np.uint8)
+    token, before = np.divmod(keys, len(hashes))
+    before = hashes[before]
+    per_token = np.bincount(token, minlength=len(hashes)).astype(np.uint32)
     names = hashes[order]
     bucket = bucket_of(names, buckets)
     present, first = np.unique(bucket, return_index=True)
     edges = np.append(first, len(names))
     cell_edge = np.searchsorted(token, edges)
     rows = [
-        (int(b), block, names[edges[i] : edges[i + 1]].tobytes(), per_token[edges[i] : edges[i + 1]].tobytes(), (keys[x:y] % CLASSES).astype(np.uint8).tobytes(), counts[x:y].tobytes())
+        (int(b), block, names[edges[i] : edges[i + 1]].tobytes(), per_token[edges[i] : edges[i + 1]].tobytes(), before[x:y].tobytes(), counts[x:y].tobytes())
         for i, (b, x, y) in enumerate(zip(present, cell_edge[:-1], cell_edge[1:], strict=True))
     ]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
@@ -118,28 +124,37 @@ class Bucket:
         rows = rows.sort_values("block")
         self.blocks = rows["block"].tolist()
         names = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-        per = [np.frombuffer(x, np.uint8) for x in rows["cells"]]
-        context = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["contexts"]]).astype(np.int64)
+        per = [np.frombuffer(x, np.uint32) for x in rows["cells"]]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]).astype(float)
         self.sizes = [len(x) for x in names]
         self.cell_sizes = [int(x.sum()) for x in per]
+        self.contexts, context = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["contexts"]]), return_inverse=True)
         words, self.asked = np.unique(np.concatenate(names), return_inverse=True)
         dish = np.repeat(self.asked, np.concatenate(per))
-        keys, self.asked_cells = np.unique(dish * CLASSES + context, return_inverse=True)
-        self.words, self.dish, self.context = words, keys // CLASSES, keys % CLASSES
+        keys, self.asked_cells = np.unique(dish * len(self.contexts) + context, return_inverse=True)
+        self.words = words
+        self.dish, self.context = np.divmod(keys, len(self.contexts))
         self.c = np.bincount(self.asked_cells, counts, len(keys)).astype(np.int64)
         self.total = np.bincount(self.dish, self.c, len(words)).astype(np.int64)
+        # Until told of other buckets, these cells are all there are.
+        self.customers, self.cells = self.by_context(self.c), self.by_context(self.c > 0)
+        self.all_cells = max(1.0, self.cells.sum())
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, len(self.contexts))
+
+    def learn(self, known: dict[str, np.ndarray]) -> None:
+        """Takes customers and cells of its contexts, and all cells, from all buckets."""
+        self.customers, self.cells = totals_of(known, self.contexts).T
+        self.all_cells = max(1.0, totals_of(known, [WHOLE])[0, 1])
 
     def counts(self) -> dict[int, float]:
-        """Sums that all buckets need: at k customers of context k, at CLASSES + k its
-        cells, and then training tokens, distinct ones, cells with one and two customers,
-        dishes with one and two contexts."""
+        """Sums that all buckets need: training tokens, distinct ones, cells with one and
+        two customers, dishes with one and two contexts."""
         live = self.c > 0
         per = np.bincount(self.dish[live], minlength=len(self.words))
-        out = dict(enumerate(np.bincount(self.context, self.c, CLASSES).tolist()))
-        out |= {CLASSES + k: x for k, x in enumerate(np.bincount(self.context[live], minlength=CLASSES).tolist())}
         last = [self.c.sum(), (self.total > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (per == 1).sum(), (per == 2).sum()]
-        return out | {2 * CLASSES + k: float(x) for k, x in enumerate(last)}
+        return {2 * CLASSES + k: float(x) for k, x in enumerate(last)}
 
 
 def tables(c: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -216,16 +231,17 @@ class Seating:
 def sample(b: Bucket, g: np.ndarray, seed: int):
     """(tables of cells, tables of dishes in the parent) of each kept sweep.
 
-    Totals of tables beyond this bucket are estimated from its own, in proportion to cells
-    and dishes, while sampling."""
+    Tables of contexts and of the parent beyond this bucket are estimated while sampling,
+    from other buckets' cells and dishes and this one's tables for each of them."""
     rng = np.random.default_rng(seed)
     d1, d0, _, _ = discounts(g)
-    cells, types = np.maximum(g[CLASSES : 2 * CLASSES], 1), max(1.0, g[2 * CLASSES + 1])
+    types = max(1.0, g[2 * CLASSES + 1])
     live = np.flatnonzero(b.c > 0)
     c, k, dish = b.c[live], b.context[live], b.dish[live]
-    own_cells, own_types = np.maximum(np.bincount(k, minlength=CLASSES), 1), max(1, len(np.unique(dish)))
+    n = len(b.contexts)
+    elsewhere, own_types = b.cells - np.bincount(k, minlength=n), max(1, len(np.unique(dish)))
     parent = b.total / max(1.0, g[2 * CLASSES])
-    all_tables, parent_tables = cells.copy(), types
+    all_tables, parent_tables = b.cells.astype(float), types
     small = np.flatnonzero(c <= SMALL)
     large = np.flatnonzero(c > SMALL)
     t = np.minimum(c, 1).astype(float)
@@ -240,10 +256,11 @@ def sample(b: Bucket, g: np.ndarray, seed: int):
         t[small] = seating.t
         t[large] = tables(c[large], pull[large], d1, rng)
         up = np.bincount(dish, t, len(b.words))
-        all_tables = np.bincount(k, t, CLASSES) / own_cells * cells
+        rate = t.sum() / max(1, len(t))
+        all_tables = np.bincount(k, t, n) + elsewhere * rate
         t0 = tables(up, (THETA + d0 * parent_tables) * (1 - NEW) / types * np.ones(len(up)), d0, rng)
         parent_tables = t0.sum() / own_types * types
-        customers = max(1.0, all_tables.sum())
+        customers = max(1.0, rate * b.all_cells)
         parent = (up - d0 * t0 + (THETA + d0 * parent_tables) * (1 - NEW) / types) / (THETA + customers)
         if sweep >= BURN:
             whole = np.zeros(len(b.c))
@@ -259,18 +276,22 @@ def discounts(g: np.ndarray) -> tuple[float, float, float, float]:
     return ratio[0], ratio[1], float(n), float(v)
 
 
-def answer(b: Bucket, g: np.ndarray, totals: np.ndarray, seed: int, bucket: int) -> pd.DataFrame:
+def answer(b: Bucket, g: np.ndarray, totals: np.ndarray, seed: int, bucket: int, customers: np.ndarray | None = None) -> pd.DataFrame:
     """ANSWER rows: for each block, training counts of its tokens and log10 averaged
-    predictive probabilities of its cells, in the order it asked."""
+    predictive probabilities of its cells, in the order it asked.  `totals` has the tables
+    of the bucket's contexts and of the parent, and `customers` the parent's customers
+    (those contexts' tables if they are all there are), of each kept sweep."""
     d1, d0, _, v = discounts(g)
-    customers = g[:CLASSES][b.context]
+    totals = totals.reshape(SAMPLES, -1)
+    if customers is None:
+        customers = totals[:, :-1].sum(1)
     p = np.zeros(len(b.c))
-    for (t, t0), total in zip(sample(b, g, seed), totals.reshape(SAMPLES, CLASSES + 1), strict=True):
+    for (t, t0), total, all_customers in zip(sample(b, g, seed), totals, customers, strict=True):
         up = np.bincount(b.dish, t, len(b.words))
-        fresh = THETA + d0 * total[CLASSES]
+        fresh = THETA + d0 * total[-1]
         base = np.where(b.total > 0, (1 - NEW) / max(1.0, v), NEW)
-        parent = (up - d0 * t0 + fresh * base) / (THETA + total[:CLASSES].sum())
-        p += (b.c - d1 * t + (THETA + d1 * total[b.context]) * parent[b.dish]) / (THETA + customers) / SAMPLES
+        parent = (up - d0 * t0 + fresh * base) / (THETA + all_customers)
+        p += (b.c - d1 * t + (THETA + d1 * total[b.context]) * parent[b.dish]) / (THETA + b.customers[b.context]) / SAMPLES
     logs = np.log10(p).astype(np.float32)[b.asked_cells]
     seen = b.total[b.asked]
     rows, i, j = [], 0, 0
@@ -311,6 +332,54 @@ def gathered(sent: DataFrame, of, keys: int) -> np.ndarray:
     return out
 
 
+def placed(frame: DataFrame) -> DataFrame:
+    """The frame cut so that Spark still knows how it is partitioned, and joins to it
+    exchange the other side only; with adaptive plans a checkpoint forgets that."""
+    conf = frame.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(frame.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def totals_of(known: dict[str, np.ndarray], names) -> np.ndarray:
+    """Rows of sums of the names, all of which are known."""
+    return known["sums"][np.searchsorted(known["names"], np.asarray(names, np.uint64))]
+
+
+def arrived(rows: pd.DataFrame, columns: int) -> dict[str, np.ndarray]:
+    names = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["names"]])
+    sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]]).reshape(-1, columns)
+    order = np.argsort(names)
+    return {"names": names[order], "sums": sums[order]}
+
+
+def offer(number: int, names: np.ndarray, sums: np.ndarray, slices: int) -> pd.DataFrame:
+    """OFFERED rows of a bucket's sums (one row a name), by hash of the name."""
+    at = bucket_of(names, slices)
+    order = np.argsort(at, kind="stable")
+    present, first = np.unique(at[order], return_index=True)
+    rows = [(int(k), number, names[own].tobytes(), sums[own].tobytes()) for k, own in zip(present, np.split(order, first[1:]), strict=True)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in OFFERED.split(", ")])
+
+
+def whole(offered: DataFrame, columns: int) -> DataFrame:
+    """TOTALS rows: for each bucket, the sums over all buckets of the names it offered."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        names = [np.frombuffer(x, np.uint64) for x in rows["names"]]
+        sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]]).reshape(-1, columns)
+        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.stack([np.bincount(at, sums[:, k]) for k in range(columns)], 1)[at]
+        parts = np.split(total, np.cumsum([len(x) for x in names])[:-1])
+        return pd.DataFrame({"bucket": rows["bucket"].tolist(), "names": [x.tobytes() for x in names], "sums": [x.tobytes() for x in parts]})
+
+    return offered.groupBy("slice").applyInPandas(run, TOTALS)
+
+
 def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
     """SCORED rows of (doc_id, text, learn), and the number of training tokens."""
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -321,21 +390,40 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         return send(int(rows["block"].iloc[0]), rows["text"].tolist(), rows["learn"].to_numpy(bool), n)
 
-    sent = cut(blocked.groupBy("block").applyInPandas(asks, SENT).repartition("bucket").sortWithinPartitions("bucket", "block"))
+    sent = placed(blocked.groupBy("block").applyInPandas(asks, SENT).repartition(n, "bucket").sortWithinPartitions("bucket", "block"))
     g = gathered(sent, lambda b, _: b.counts(), 2 * CLASSES + 6)
 
-    def table_totals(b: Bucket, bucket: int) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for s, (t, t0) in enumerate(sample(b, g, bucket)):
-            sums = np.append(np.bincount(b.context, t, CLASSES), t0.sum())
-            out |= {s * (CLASSES + 1) + k: x for k, x in enumerate(sums.tolist())}
-        return out
+    def own_sums(b: Bucket, bucket: int) -> pd.DataFrame:
+        sums = np.stack([b.customers, b.cells], 1)
+        return offer(bucket, np.append(b.contexts, WHOLE), np.vstack([sums, sums.sum(0)]), n)
+
+    known = cut(whole(by_bucket(sent, own_sums, OFFERED), 2))
+
+    def informed(rows: pd.DataFrame, known: pd.DataFrame) -> tuple[Bucket, int]:
+        b = Bucket(rows)
+        b.learn(arrived(known, 2))
+        return b, int(rows["bucket"].iloc[0])
+
+    def table_totals(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        b, bucket = informed(rows, known)
+        kept = sample(b, g, bucket)
+        sums = np.stack([np.concatenate([b.by_context(t), [t0.sum(), t.sum()]]) for t, t0 in kept], 1)
+        return offer(bucket, np.append(b.contexts, [PARENT, WHOLE]), sums, n)
+
+    def with_known(of, schema: str, more: DataFrame | None = None) -> DataFrame:
+        told = known.withColumn("tables", F.lit(False))
+        if more is not None:
+            told = told.unionByName(more.withColumn("tables", F.lit(True)))
+        return sent.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(of, schema)
 
-    totals = gathered(sent, table_totals, SAMPLES * (CLASSES + 1))
+    tables_of = whole(with_known(table_totals, OFFERED), SAMPLES)
     _, _, big_n, v = discounts(g)
 
-    def replies(b: Bucket, bucket: int) -> pd.DataFrame:
-        return answer(b, g, totals, bucket, bucket)
+    def replies(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        b, bucket = informed(rows, told[~told["tables"]])
+        sums = arrived(told[told["tables"]], SAMPLES)
+        totals = totals_of(sums, np.append(b.contexts, PARENT)).T
+        return answer(b, g, totals, bucket, bucket, totals_of(sums, [WHOLE])[0])
 
     def adds(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
@@ -354,5 +442,5 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
         out["score"] = np.add.reduceat(logs[cell], first)
         return out
 
-    answers = by_bucket(sent, replies, ANSWER)
+    answers = with_known(replies, ANSWER, tables_of)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(adds, SCORED), int(big_n)

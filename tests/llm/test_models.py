@@ -244,3 +244,16 @@ def test_seating_keeps_counts():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 < t[3] < 10**8
 
 
+
+
+def test_words_are_contexts_of_their_own():
+    # Words of equal last bytes, hence once of one class, lead to different words.
+    pairs = [(f"{i}same", f"next{i}") for i in range(100)]
+    texts = [f"{a} {b}" for a, b in pairs] * 3
+    probe = [f"{a} {pairs[(i + k) % 100][1]}" for k in (0, 1) for i, (a, _) in enumerate(pairs)]
+    b, g, totals = model_probabilities(texts + probe, [True] * len(texts) + [False] * len(probe))
+    logs = np.frombuffer(pitman_yor.answer(b, g, totals, 0, 0)["logs"].iloc[0], np.float32)
+    hashes, place, context, lengths = pitman_yor.layout(texts + probe)
+    cell = pitman_yor.cells_of(hashes, place, context, 1)[2]
+    second = logs[cell[(np.cumsum(lengths) - lengths)[len(texts) :] + 1]]
+    assert second[:100].min() > math.log10(0.3) and second[100:].max() < math.log10(0.1)
