@@ -12,7 +12,8 @@
    members in different components is held against estimate and full sets inside a join
    condition, so that only links become rows.  Members already in one component need no further links,
    so no pair within a group of copies is expanded, and no link that would join two
-   components is lost beyond the bands' own miss rate (below 1e-6 at the threshold).
+   components is lost beyond the miss rates of bands and estimate (each below 1e-6 for a
+   pair at the threshold).
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stand
 alone; texts of fewer than `width` words are one shingle; null doc_ids take part and sort
@@ -22,6 +23,7 @@ rows that may link; an empty table gives an empty result; other columns aren't r
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -33,7 +35,8 @@ from lodestone.llm.text import Vocabulary, cut, mix64, windows, words_of
 
 WIDTH = 5
 ROUNDS = 3
-SLACK = 0.12
+#: A pair at the threshold fails the signature estimate with at most this probability.
+MISSED = 1e-6
 LAST = (1 << 63) - 1
 ROW = "id long, n long, fp binary, bands array<long>, sig array<long>"
 KEY = "struct<id:bigint,fp:binary>"
@@ -44,6 +47,20 @@ def bands_for(percent: int) -> tuple[int, int]:
     return (26, 5) if percent >= 85 else (28, 4)
 
 
+def most_differing(percent: int) -> int:
+    """In how many minima a pair may differ and still be held against full sets: the least
+    number that a pair at the threshold, given one shared band, exceeds with at most MISSED
+    (equal low bytes of different minima only lower what is seen to differ)."""
+    bands, rows = bands_for(percent)
+    free, apart = (bands - 1) * rows, 1 - percent / 100
+    tail = 1.0
+    for k in range(free + 1):
+        tail -= math.comb(free, k) * apart**k * (1 - apart) ** (free - k)
+        if tail <= MISSED:
+            return k
+    return free
+
+
 def permutations(k: int) -> np.ndarray:
     return mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -122,12 +139,11 @@ def first_common(a: Column, b: Column, bands: int) -> Column:
 
 
 def promising(a: str, b: str, percent: int) -> Column:
-    """Sizes allow the threshold, and so does the collision-corrected estimate less SLACK."""
+    """Sizes allow the threshold, and so does the number of minima that differ."""
     bands, rows = bands_for(percent)
-    k, chance = bands * rows, 1 / 256
-    estimate = ((k - differing(F.col(f"{a}.sig"), F.col(f"{b}.sig"), -(-k // 8))) / k - chance) / (1 - chance)
+    apart = differing(F.col(f"{a}.sig"), F.col(f"{b}.sig"), -(-bands * rows // 8))
     low, high = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (100 * low >= percent * high) & (estimate >= percent / 100 - SLACK)
+    return (100 * low >= percent * high) & (apart <= most_differing(percent))
 
 
 def connected(edges: DataFrame, most: int = 50) -> DataFrame:

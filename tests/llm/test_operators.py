@@ -61,6 +61,18 @@ def test_near_dedup_against_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dedup_estimate_seldom_misses(spark, percent):
+    bands, width = minhash.bands_for(percent)
+    n, q = (bands - 1) * width, 1 - percent / 100
+    missed = lambda d: sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(d + 1, n + 1))
+    d = next(d for d in range(n) if missed(d) <= 2e-6)
+    lanes = -(-bands * width // 8)
+    sig = [int.from_bytes(bytes(8 * i + j < d for j in range(8)), "little") for i in range(lanes)]
+    pair = spark.createDataFrame([((1, 100, [0] * lanes), (2, 100, sig))], "x struct<id:long,n:long,sig:array<long>>, y struct<id:long,n:long,sig:array<long>>")
+    assert pair.select(minhash.promising("x", "y", percent)).first()[0]
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     assert minhash.components(none).count() == 0
