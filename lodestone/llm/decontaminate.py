@@ -3,7 +3,8 @@
 A seed is the shortest run of SHORTEST to LONGEST words, from each place of a test item,
 that the whole corpus would hold by chance less than RARE times, going by the frequencies
 of its words in all documents (leaked items don't make their own seeds common this way).
-Runs that never get that rare are used at full length.  Training passages that hold a seed
+Where no run gets that rare, the seed is the longest one up to LONGEST words that the item
+has left there; the last SHORTEST - 1 places start none.  Training passages that hold a seed
 meet the item there: the words around it are aligned with the whole item, and a pair
 counts when the best local alignment reaches THRESHOLD of the item's length (a match 1, a
 mismatch or gap -0.5), which finds exact, edited and paraphrased copies.
@@ -97,9 +98,10 @@ class Index:
                 runs[n] = longer(runs[n - 1], hashes, n)
             for i in range(len(words) - SHORTEST + 1):
                 expected = total * chance[i] * chance[i + 1]
-                for n in range(SHORTEST, min(LONGEST, len(words) - i) + 1):
+                most = min(LONGEST, len(words) - i)
+                for n in range(SHORTEST, most + 1):
                     expected *= chance[i + n - 1]
-                    if expected < RARE or n == LONGEST:
+                    if expected < RARE or n == most:
                         seeds.setdefault(n, []).append((int(runs[n][i]), at, i))
                         break
         self.by_length = {}

@@ -140,6 +140,20 @@ def test_leaks_exact_edited_and_absent():
         assert all(h[0] == 7 and 0 <= h[2] < h[3] <= len(words) for h in hits)
 
 
+def test_leaks_of_short_items_of_common_words():
+    words = [b"of", b"the", b"and", b"to", b"in", b"that", b"it"]
+    counts = dict.fromkeys(words, 50_000_000)
+    noise = [b"n%d" % k for k in range(20)]
+    vocabulary = Vocabulary()
+    for m in (5, 6, 7):
+        index = decontaminate.Index([(1, words[:m])], counts, 5_000_000_000)
+        assert [h[:2] for h in index.find(vocabulary.hashed(noise + words[:m] + noise))] == [(1, 1.0)]
+    # A long item of which only the end is there.
+    item = [b"x%d" % k for k in range(5)] + words
+    index = decontaminate.Index([(1, item)], counts | dict.fromkeys(item[:5], 50_000_000), 5_000_000_000)
+    assert index.find(vocabulary.hashed(noise + words + noise))
+
+
 def test_template_language():
     render = chat.compile_template("{% set x = 'a' ~ (1 + 2) %}{% for m in messages %}{% if not m.role == 'user' and m['text'] != 'z' %}<{{ m.text }}>{% elif m.role in 'user' %}u{% else %}-{% endif %}{% endfor %}{{ x }}")
     assert render([{"role": "user", "text": "q"}, {"role": "bot", "text": "r"}, {"role": "bot", "text": "z"}]) == ("u<r>-a3", [])
