@@ -1,16 +1,16 @@
 """Main text of web pages by removal of site templates.
 
 Each page is parsed once into blocks of text, and every container element gets a hash of
-its subtree (tags, classes and text).  Spark counts the pages of each host on which a
-subtree occurs; containers that recur on many pages of their host are its template, and
-their blocks go.  Elements whose name or class says that they are not content (menus,
+its subtree (tags and text).  Spark counts the pages of each host on which a subtree
+occurs with at most half of the page's text, pages of equal text once; containers on SHARE
+of the host's pages, and LEAST of them, are its template, and their blocks go.  Elements whose name or class says that they are not content (menus,
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, comments of
-readers) go at once.  Where a page has an article or main element, only text in it counts;
-paragraphs inside one are never taken for a template, however often they recur, nor is a
-container that holds more than half of the page's text.
+readers) go at once.  Where a page has an article or main element, only text in it counts,
+and nothing inside one is ever taken for a template, however often it recurs.  Nor is what
+holds more than half of a page's text wherever it occurs: that is a text with copies.
 
 Defined results: null and empty html give an empty text; a null or odd url counts as the
-host ''; rows that repeat a page count as further pages and get the same text each; broken
+host ''; rows that repeat a page count once and get the same text each; broken
 markup is read leniently (unclosed elements end with their parents, stray end tags are
 ignored, `<` that begins no tag is text); an empty table gives an empty result.
 """
@@ -26,7 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES = 8
+from lodestone.llm.text import cut
+
+LEAST, SHARE = 3, 0.3
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noframes"}
@@ -45,7 +47,7 @@ WORDS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share",
     "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "widget", "masthead", "skip", "search", "searchbox",
 }
-PARSED = "blocks array<struct<text:string,inside:array<long>>>, hashes array<long>"
+PARSED = "blocks array<struct<text:string,inside:array<long>>>, inside array<long>, small array<long>, content long"
 
 
 def unwanted(tag: str, attributes: str, in_main: int) -> bool:
@@ -76,8 +78,9 @@ class Open:
 
 
 def parse(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """(text, hashes of the containers around it) of each block in page order, and all
-    distinct container hashes.  Blocks in main elements win over all others."""
+    """(text, hashes of the containers around it, none in a main element) of each block in
+    page order, and the distinct hashes of containers with at most half of the text.
+    Blocks in main elements win over all others."""
     blocks: list[list] = []  # text, inside main, hashes
     stack = [Open("", False, 0, 0)]
     buffer: list[str] = []
@@ -148,41 +151,48 @@ def parse(source: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     while len(stack) > 1:
         close()
     level = max((b[1] for b in blocks), default=0)
-    blocks = [b for b in blocks if b[1] == level]
+    blocks = [[b[0], b[1], [] if level else b[2]] for b in blocks if b[1] == level]
     within: dict[int, int] = {}
     for b in blocks:
         for h in set(b[2]):
             within[h] = within.get(h, 0) + len(b[0])
-    # What holds most of a page's text is the text, even if other pages copy it.
+    # What holds most of a page's text may be the text, even if other pages copy it.
     small = {h for h, n in within.items() if 2 * n <= sum(len(b[0]) for b in blocks)}
-    return [(b[0], [h for h in b[2] if h in small]) for b in blocks], sorted(small)
+    return [(b[0], b[2]) for b in blocks], sorted(small)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, a key of the row's content, its host, blocks and container hashes."""
+    """page_id, url, a key of the row's content, its host, blocks, hashes of its containers, those of
+    containers with at most half of its text, and a hash of the text."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            blocks, hashes = parse(t)
-            out.append(([{"text": a, "inside": b} for a, b in blocks], hashes))
-        return pd.DataFrame(out, columns=["blocks", "hashes"])
+            blocks, small = parse(t)
+            content = xxhash.xxh3_64_intdigest("\n".join(a for a, _ in blocks).encode("utf-8", "replace")) - (1 << 63)
+            out.append(([{"text": a, "inside": b} for a, b in blocks], sorted({h for _, b in blocks for h in b}), small, content))
+        return pd.DataFrame(out, columns=["blocks", "inside", "small", "content"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     made = pages.select("page_id", "url", "html").withColumn("p", F.pandas_udf(run, PARSED)("html"))
-    return made.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.col("p.blocks").alias("blocks"), F.col("p.hashes").alias("hashes"))
+    return made.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "p.blocks", "p.inside", "p.small", "p.content")
 
 
-def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
-    """(host, hash) of containers on at least `least` pages of the host."""
-    seen = pages.select("host", F.explode("hashes").alias("hash"))
-    return seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("host", "hash")
+def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """(host, hash) of containers on at least `least` pages of the host and `share` of them,
+    pages of equal text counted once."""
+    # A page's null stands for the page itself.
+    marks = F.explode(F.concat("small", F.array(F.lit(None).cast("long")))).alias("hash")
+    seen = pages.select("host", "content", marks).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    seen = cut(seen.filter(F.col("n") >= least))
+    hosts = seen.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
+    return seen.filter("hash IS NOT NULL").join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
 
 
-def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of each row of (page_id, url, html)."""
     rows = parsed(pages)
-    gone = rows.select("key", "host", F.explode("hashes").alias("hash")).join(templates(rows, least), ["host", "hash"])
+    gone = rows.select("key", "host", F.explode("inside").alias("hash")).join(templates(rows, least, share), ["host", "hash"])
     gone = gone.groupBy("key").agg(F.collect_set("hash").alias("gone"))
     joined = rows.join(gone, "key", "left")
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["inside"], F.col("gone")))

@@ -140,6 +140,21 @@ def test_template_removal(spark):
     assert got[3] == f"story 3 {'x' * 60}" and got[50].startswith("Site tagline here story 50") and got[51] == ""
 
 
+def test_templates_follow_the_host(spark):
+    box = "<div><ul><li>same box here</ul></div>"
+    article = lambda k: f"<article><p>story {k} {'x' * 60}</p>{box}</article>"
+    plain = lambda k, also: f"<div><p>story {k} {'x' * 60}</p></div>{also}"
+    pages = [(k, f"http://a.org/{k}", article(k)) for k in range(10)]  # in an article
+    pages += [(100 + k, f"http://b.org/{k}", plain(k, box if k < 9 else "")) for k in range(60)]  # on few of many pages
+    pages += [(200 + k, f"http://c.org/{k}", plain(k, box)) for k in range(4)]  # on a small host
+    pages += [(204, "http://c.org/4", f"<div><p>hi</p></div>{box}")]  # most of a short page
+    pages += [(300 + k, f"http://d.org/{k}", plain(0, box)) for k in range(9)]  # one page, copied
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages)
+    assert all(got[k].endswith("same box here") for k in [*range(10), *range(100, 109), *range(300, 309)])
+    assert [got[k] for k in range(200, 205)] == [f"story {k} {'x' * 60}" for k in range(4)] + ["hi"]
+
+
 def test_archive(spark):
     pages = [(1, "u", "same"), (5, "v", "same"), (5, "v", "same"), (None, "w", "same"), (2, None, None), (3, "x", ""), (4, "y", "é" * 9)]
     got = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
