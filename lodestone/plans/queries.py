@@ -16,6 +16,7 @@ from lodestone.operators import chunk, graph, paths, search, symbols, vectors
 from lodestone.plans import corpora
 from lodestone.plans.corpora import CODE_SQL, DOCUMENTS_SQL, IMPORTS_SQL, table
 from lodestone.sources import lake
+from lodestone.sources.files import MOST_BYTES
 from lodestone.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ def blocks(spark, sf_dir):
 @query("SELECT file_id, rel, len FROM (SELECT doc_id AS file_id, source || '/' || doc_id || '.txt' AS rel, strlen(text)::BIGINT AS len, text FROM documents) WHERE len <= 16384 AND NOT contains(left(text, 8192), chr(0))")
 def scan_filter(spark, sf_dir):
     size = F.octet_length("text").cast("long")
-    files = table(spark, sf_dir, "documents").filter((size <= 16384) & ~F.contains(F.substring(F.col("text").cast("binary"), 1, 8192), F.lit(b"\x00")))
+    files = table(spark, sf_dir, "documents").filter((size <= MOST_BYTES) & ~F.contains(F.substring(F.col("text").cast("binary"), 1, 8192), F.lit(b"\x00")))
     return files.select(F.col("doc_id").alias("file_id"), F.concat("source", F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("rel"), size.alias("len"))
 
 

@@ -109,3 +109,11 @@ def test_changes_stream(spark, tmp_path):
     finally:
         query.stop()
     assert {r.rel for r in lake.load(spark, folder).table("files").collect()} == {"b.txt"}
+
+
+def test_scan_filter_keeps_files_up_to_the_limit(spark, tmp_path):
+    from lodestone.plans import queries
+
+    texts = [(1, "a" * 20_000), (2, "a" * files.MOST_BYTES), (3, "a" * (files.MOST_BYTES + 1)), (4, "a\0")]
+    spark.createDataFrame([(i, "s", t) for i, t in texts], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.file_id for r in queries.scan_filter(spark, str(tmp_path)).collect()) == [1, 2]
