@@ -8,9 +8,10 @@ mostly new words).  Customers are tokens of the training texts; each table of a
 restaurant is a customer of the parent.
 
 Seating is sampled by Gibbs.  In a cell (context and dish) of up to SMALL customers, single
-customers leave and sit down again; in larger cells the number of tables is drawn anew as a
-whole, in batches that grow with the cell, so a dish with any number of customers costs
-logarithmic time and constant memory.  Predictive probabilities are averaged over SAMPLES
+customers leave and sit down again; in larger cells, and in the parent, the number of
+tables is drawn anew as a whole from its conditional distribution given the customers, by
+Stirling numbers up to SMALL customers and by their limit beyond, so a dish with any number
+of customers costs constant time and memory.  Predictive probabilities are averaged over SAMPLES
 sweeps after BURN ones.  Discounts come from the counts of cells with one and two customers
 and of dishes with one and two contexts, over all training texts.
 
@@ -173,6 +174,33 @@ def tables(c: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Generator)
     return t
 
 
+def stirling(d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: at [c, t], of all seatings of c
+    customers at t tables, up to SMALL of them."""
+    out = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(SMALL):
+        t = np.arange(c + 1)
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - d * t[1:])
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
+    return out
+
+
+def drawn(c: np.ndarray, pull: np.ndarray, d: float, numbers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells, from their distribution given c customers, in proportion to
+    stirling[c, t] * pull ** t; for many customers t - 1 is Poisson of mean pull / d."""
+    t = np.minimum(c, 1).astype(float)
+    for n in np.unique(c[(c > 1) & (c <= SMALL)]).astype(int):
+        own = np.flatnonzero(c == n)
+        for at in np.array_split(own, 1 + len(own) * n // 4_000_000):
+            k = np.arange(1, n + 1)
+            logs = numbers[n, 1 : n + 1] + np.log(pull[at])[:, None] * k
+            t[at] = 1 + (logs + rng.gumbel(size=logs.shape)).argmax(1)
+    large = np.flatnonzero(c > SMALL)
+    t[large] = np.minimum(1 + rng.poisson(pull[large] / d), c[large])
+    return t
+
+
 class Seating:
     """Explicit seating of small cells, for moves of single customers."""
 
@@ -246,6 +274,7 @@ def sample(b: Bucket, g: np.ndarray, seed: int):
     large = np.flatnonzero(c > SMALL)
     t = np.minimum(c, 1).astype(float)
     seating = None
+    numbers, numbers0 = stirling(d1), stirling(d0)
     out = []
     for sweep in range(BURN + SAMPLES):
         pull = (THETA + d1 * all_tables[k]) * parent[dish]
@@ -254,11 +283,11 @@ def sample(b: Bucket, g: np.ndarray, seed: int):
         for _ in range(MOVES):
             seating.move(pull[small])
         t[small] = seating.t
-        t[large] = tables(c[large], pull[large], d1, rng)
+        t[large] = drawn(c[large], pull[large], d1, numbers, rng)
         up = np.bincount(dish, t, len(b.words))
         rate = t.sum() / max(1, len(t))
         all_tables = np.bincount(k, t, n) + elsewhere * rate
-        t0 = tables(up, (THETA + d0 * parent_tables) * (1 - NEW) / types * np.ones(len(up)), d0, rng)
+        t0 = drawn(up, (THETA + d0 * parent_tables) * (1 - NEW) / types * np.ones(len(up)), d0, numbers0, rng)
         parent_tables = t0.sum() / own_types * types
         customers = max(1.0, rate * b.all_cells)
         parent = (up - d0 * t0 + (THETA + d0 * parent_tables) * (1 - NEW) / types) / (THETA + customers)

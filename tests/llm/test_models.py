@@ -271,3 +271,22 @@ def test_words_are_contexts_of_their_own():
     cell = pitman_yor.cells_of(hashes, place, context, 1)[2]
     second = logs[cell[(np.cumsum(lengths) - lengths)[len(texts) :] + 1]]
     assert second[:100].min() > math.log10(0.3) and second[100:].max() < math.log10(0.1)
+
+
+def test_tables_of_large_cells_and_the_parent_are_conditional():
+    rng, d = np.random.default_rng(12), 0.8
+    numbers = pitman_yor.stirling(d)
+    for c, pull in ((3, 0.5), (60, 5.0), (2000, 20.0)):
+        logs = np.full(c + 2, -np.inf)
+        logs[1] = 0.0
+        for n in range(1, c):
+            grown = np.full(c + 2, -np.inf)
+            grown[1 : n + 1] = logs[1 : n + 1] + np.log(n - d * np.arange(1, n + 1))
+            grown[1:] = np.logaddexp(grown[1:], logs[:-1])
+            logs = grown
+        t = np.arange(c + 2)
+        p = np.exp((x := logs + t * math.log(pull)) - x.max())
+        got = pitman_yor.drawn(np.full(20_000, c), np.full(20_000, pull), d, numbers, rng)
+        assert abs(got.mean() / ((t * p).sum() / p.sum()) - 1) < 0.02
+        old = pitman_yor.tables(np.full(2000, c), np.full(2000, pull), d, rng).mean()
+        assert c < 2000 or old > 2 * got.mean()
