@@ -1,7 +1,9 @@
 """Simple paths of bounded length between two sets of nodes.
 
 The walk goes level by level, one join for each.  Nodes that can't reach a target in the
-steps left are cut off first by a backward search, which changes no result.
+steps left are cut off first by a backward search, which changes no result.  Where only
+some paths are asked for, at most MOST_VISITS unfinished ones go on from a level, the first
+in order, as the number of simple paths has no bound in the size of the graph.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 from lodestone.functions.shared import cut
 
 MOST_NODES, MOST_PATHS = 8, 5
+#: Fixed value: the budget of a search for some paths.
+MOST_VISITS = 200_000
 
 
-def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes: int = MOST_NODES, visits: int | None = None) -> DataFrame:
     """Every simple path (src, dst edges; node columns of sources and targets), as an
-    array: it ends at the first target after its source and has at most most_nodes nodes."""
+    array: it ends at the first target after its source and has at most most_nodes nodes.
+    With `visits`, so many unfinished paths at most go on from each level."""
     edges = cut(edges.select("src", "dst").distinct())
     goals = targets.select(F.col("node").alias("goal")).distinct()
     near = [goals.select(F.col("goal").alias("node"))]
@@ -33,6 +38,8 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes:
         flagged = cut(longer.join(goals, F.col("last") == F.col("goal"), "left"))
         done = flagged.filter("goal IS NOT NULL").select("path")
         walk = flagged.filter("goal IS NULL").select("path", "last")
+        if visits is not None:
+            walk = walk.orderBy("path").limit(visits)
         found = done if found is None else found.union(done)
     return found.distinct()
 
@@ -42,13 +49,15 @@ def find_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_no
 
     By default those that a depth-first walk over ascending neighbours meets first are
     kept (the lexicographic order of paths); shortest=True keeps the shortest."""
-    every = paths(edges, sources, targets, most_nodes).withColumn("nodes", F.size("path"))
+    every = paths(edges, sources, targets, most_nodes, MOST_VISITS).withColumn("nodes", F.size("path"))
     kept = every.orderBy("nodes", "path") if shortest else every.orderBy("path")
     return kept.limit(most_paths).orderBy("nodes", "path")
 
 
-def hops(found: DataFrame, symbols: DataFrame) -> DataFrame:
-    """path_no (by length and order), hop, and the symbol at each hop."""
+def hops(found: DataFrame, symbols: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """The path as text, hop, and the symbol at each hop, with its block's text if blocks
+    are given."""
     text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     each = found.select(text.alias("path_text"), F.posexplode("path").alias("hop", "sym_id"))
-    return each.join(symbols, "sym_id").select("path_text", "hop", "sym_id", "name", "file_id", "line", "block_id")
+    out = each.join(symbols, "sym_id").select("path_text", "hop", "sym_id", "name", "file_id", "line", "block_id")
+    return out if blocks is None else out.join(blocks.select("block_id", "text"), "block_id", "left")

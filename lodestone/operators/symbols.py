@@ -2,7 +2,10 @@
 
 A rule names a keyword and a kind; the name is the identifier that follows the keyword's
 first whole-word occurrence, after an argument list that touches the keyword and after type
-parameters.  All rules are column expressions.
+parameters, however deep their brackets nest and however long the line is.  All rules are
+column expressions: each keyword of a line is looked for once, and one expression over the
+array of what was found serves the rules of all languages, which keeps the compiled code of
+a stage small.
 """
 
 from __future__ import annotations
@@ -48,21 +51,6 @@ RULES: dict[str, tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...]]
     "javalike": (("class", "class", (), ()), ("interface", "interface", (), ()), ("enum", "enum", (), ())),
 }
 
-_DEPTH = 4
-
-
-def _nested(a: str, b: str, depth: int = _DEPTH) -> str:
-    """A bracketed text with brackets inside it down to some depth."""
-    plain = f"[^{a}{b}]"
-    inside = f"{plain}*"
-    for _ in range(depth):
-        inside = f"(?:{plain}|\\{a}{inside}\\{b})*"
-    return f"\\{a}{inside}\\{b}"
-
-
-NAME_AHEAD = rf"(?s)^(?:{_nested('(', ')')})?[ \t]*(?:{_nested('<', '>')}[ \t]*)?([A-Za-z_][A-Za-z0-9_]*)"
-
-
 def language(path: Column) -> Column:
     """The language of a file by its extension; a name that begins with its only dot has
     none."""
@@ -75,13 +63,41 @@ def language(path: Column) -> Column:
 
 
 def after_word(line: Column, word: str) -> Column:
-    """What follows the first whole-word occurrence; null if there is none."""
-    pattern = rf"(?s)^.*?(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])(.*)$"
-    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
+    """What follows the first whole-word occurrence; empty if there is none."""
+    return F.regexp_extract(line, rf"(?s)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])(.*)", 1)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def after_brackets(text: Column, opening: str, closing: str) -> Column:
+    """The text after the bracketed part that it begins with, or all of it where it begins
+    with none; null where the brackets don't close.
+
+    Piece i between closing brackets ends the part if as many have been opened so far as
+    i + 1.  Only brackets are counted, so a line costs what it has of them."""
+    pieces = F.split(text, "\\" + closing, -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("opened"), F.lit(-1).alias("end"))
+
+    def count(state: Column, piece: Column) -> Column:
+        opened = state["opened"] + F.char_length(piece) - F.char_length(F.replace(piece, F.lit(opening), F.lit("")))
+        done = F.when(state["end"] >= 0, state["end"]).when(opened == state["at"] + 1, state["at"]).otherwise(-1)
+        return F.struct((state["at"] + 1).alias("at"), opened.alias("opened"), done.alias("end"))
 
+    def rest(parts: Column) -> Column:
+        # The last piece has no closing bracket after it.
+        end = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, count, lambda state: state["end"])
+        return bound(end, lambda e: F.when(e >= 0, F.array_join(F.slice(parts, e + 2, F.size(parts)), closing)))
 
-def name_after(line: Column, word: str) -> Column:
-    name = F.regexp_extract(after_word(line, word), NAME_AHEAD, 1)
+    return F.when(text.startswith(opening), bound(pieces, rest)).otherwise(text)
+
+
+def name_in(rest: Column) -> Column:
+    """The identifier that what follows a keyword gives, or null."""
+    inner = bound(after_brackets(rest, "(", ")"), lambda t: after_brackets(F.ltrim(t, F.lit(" \t")), "<", ">"))
+    name = bound(inner, lambda t: F.regexp_extract(t, r"^[ \t]*([A-Za-z_][A-Za-z0-9_]*)", 1))
     return F.when(name != "", name)
 
 
@@ -108,21 +124,19 @@ def _method(line: Column) -> Column:
 
 def definition(lang: Column, line: Column) -> Column:
     """struct<name, kind> of the first rule that gives a name, or null."""
-    out = None
+    found = None
     for name, rules in RULES.items():
-        found = []
-        for word, kind, every, some in rules:
-            label: Column = F.lit(kind)
-            if name == "go" and word == "func":
-                label = F.when(F.ltrim(after_word(line, word)).startswith("("), "method").otherwise("func")
-            n = F.when(_holds(line, every, some), name_after(line, word))
-            found.append(F.when(n.isNotNull(), F.struct(n.alias("name"), label.alias("kind"))))
-        if name == "javalike":
-            m = _method(line)
-            found.append(F.when(m.isNotNull(), F.struct(m.alias("name"), F.lit("method").alias("kind"))))
-        this = F.coalesce(*found)
-        out = F.when(lang == name, this) if out is None else out.when(lang == name, this)
-    return F.when((F.octet_length(out["name"]) >= 2) & ~out["name"].isin(*NOT_NAMES), out)
+        tries = F.array(*[F.struct(F.lit(kind).alias("kind"), F.when(_holds(line, every, some), after_word(line, word)).alias("rest")) for word, kind, every, some in rules])
+        found = F.when(lang == name, tries) if found is None else found.when(lang == name, tries)
+
+    def named(t: Column) -> Column:
+        kind = F.when((lang == "go") & (t["kind"] == "func") & F.ltrim(t["rest"]).startswith("("), "method").otherwise(t["kind"])
+        return F.struct(F.when(t["rest"] != "", name_in(t["rest"])).alias("name"), kind.alias("kind"))
+
+    first = F.get(F.filter(F.transform(F.filter(found, lambda t: t["rest"] != ""), named), lambda d: d["name"].isNotNull()), F.lit(0))
+    java = F.when(lang == "javalike", bound(_method(line), lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit("method").alias("kind")))))
+    fits = lambda d: (F.octet_length(d["name"]) >= 2) & ~d["name"].isin(*NOT_NAMES)
+    return F.get(F.filter(F.array(F.coalesce(first, java)), fits), F.lit(0))
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -132,10 +146,17 @@ def source_lines(files: DataFrame) -> DataFrame:
     return each.filter(~F.col("text").rlike(BLANK)).select("file_id", "rel", "lang", (F.col("at") + 1).alias("line"), "text")
 
 
+#: Lines without one of these hold no definition.
+KEYWORDS = sorted({word for rules in RULES.values() for word, *_ in rules})
+MAYBE = rf"(?<![A-Za-z0-9_])(?:{'|'.join((*KEYWORDS, *MODIFIERS))})(?![A-Za-z0-9_])"
+
+
 def definitions(source: DataFrame) -> DataFrame:
     """file_id, line, name, kind, at most one for each line."""
-    d = definition(F.col("lang"), F.regexp_replace("text", r"(?U)^\s+", ""))
-    return source.select("file_id", "line", d.alias("d")).filter("d IS NOT NULL").select("file_id", "line", "d.name", "d.kind")
+    likely = source.filter(F.col("text").rlike(MAYBE)).select("file_id", "line", "lang", F.regexp_replace("text", r"(?U)^\s+", "").alias("text"))
+    # An outer explode, as from another one a filter that repeats the whole rule is derived.
+    d = F.explode_outer(F.array(definition(F.col("lang"), F.col("text")))).alias("d")
+    return likely.select("file_id", "line", d).filter("d IS NOT NULL").select("file_id", "line", "d.name", "d.kind")
 
 
 CALL = r"([A-Za-z_][A-Za-z0-9_]*)[ \t]*\("
@@ -149,29 +170,37 @@ def call_tokens(source: DataFrame) -> DataFrame:
 
 def quoted(text: Column) -> Column:
     """What is in the first pair of equal quotes (or runs to the end); null if empty."""
-    q = F.regexp_extract(text, r"(?s)^[^'\"`]*(['\"`])((?:(?!\1).)*)", 2)
-    return F.when(q != "", q)
+    q = F.regexp_extract(text, r"(?s)^[^'\"`]*+(?:'([^']*+)|\"([^\"]*+)|`([^`]*+))", 0)
+    return bound(F.regexp_extract(q, r"(?s)['\"`](.*)", 1), lambda t: F.when(t != "", t))
 
 
 def import_spec(lang: Column, text: Column) -> Column:
     """The module that a line imports, or null."""
-    line = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    tail = lambda pattern: F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
-    bare = lambda c: F.trim(F.regexp_replace(F.trim(c), ";+$", ""))
-    from_quote = quoted(after_word(line, "from"))
-    tsjs = F.coalesce(from_quote, F.when(line.startswith("import ") | F.contains(line, F.lit("require(")), quoted(line)))
-    path = bare(F.regexp_replace(tail(r"(?s)^(?:pub )?use (.*)$"), r"(?s)\{.*$", ""))
-    crate = F.when(path.startswith("crate::"), F.replace(F.regexp_replace(F.substring(path, F.lit(8), F.char_length(path)), "(?:::)+$", ""), F.lit("::"), F.lit("/")))
-    module = F.element_at(F.split(bare(tail(r"(?s)^(?:pub )?mod (.*)$")), " ", -1), 1)
-    rust = F.when(line.rlike(r"^(?:pub )?use "), crate).otherwise(module)
-    first = F.regexp_extract(tail(r"(?s)^from (.*)$"), r"(?U)^\s*(\S+)", 1)
-    several = F.trim(F.element_at(F.split(tail(r"(?s)^import (.*)$"), ",", -1), 1))
-    python = F.when(line.startswith("from "), F.when(first != "", first)).otherwise(several)
-    go = F.when(line.startswith("import ") | line.startswith('"'), quoted(line))
-    java = F.trim(F.regexp_replace(tail(r"(?s)^import (.*)$"), ";+$", ""))
-    return F.when(lang == "tsjs", tsjs).when(lang == "rust", rust).when(lang == "python", python).when(lang == "go", go).when(lang == "javalike", java)
+    tail = lambda line, pattern: bound(F.regexp_extract(line, pattern, 1), lambda t: F.when(t != "", t))
+    bare = lambda c: F.trim(F.regexp_replace(F.trim(c), ";++$", ""))
+
+    def by_language(line: Column) -> Column:
+        tsjs = F.coalesce(quoted(after_word(line, "from")), F.when(line.startswith("import ") | F.contains(line, F.lit("require(")), quoted(line)))
+        path = bare(F.regexp_replace(tail(line, r"(?s)^(?:pub )?use (.*)$"), r"(?s)\{.*$", ""))
+        crate = bound(path, lambda p: F.when(p.startswith("crate::"), F.replace(F.regexp_replace(F.substring(p, F.lit(8), F.char_length(p)), "(?:::)++$", ""), F.lit("::"), F.lit("/"))))
+        module = F.element_at(F.split(bare(tail(line, r"(?s)^(?:pub )?mod (.*)$")), " ", -1), 1)
+        rust = F.when(line.rlike(r"^(?:pub )?use "), crate).otherwise(module)
+        first = tail(line, r"(?sU)^from \s*+(\S++)")
+        several = F.trim(F.element_at(F.split(tail(line, r"(?s)^import (.*)$"), ",", -1), 1))
+        python = F.when(line.startswith("from "), first).otherwise(several)
+        go = F.when(line.startswith("import ") | line.startswith('"'), quoted(line))
+        java = F.trim(F.regexp_replace(tail(line, r"(?s)^import (.*)$"), ";++$", ""))
+        return F.when(lang == "tsjs", tsjs).when(lang == "rust", rust).when(lang == "python", python).when(lang == "go", go).when(lang == "javalike", java)
+
+    return bound(F.regexp_replace(text, r"(?U)^\s++|\s+$", ""), by_language)
+
+
+#: Lines without one of these import nothing.
+IMPORTING = r'from|import|require\(|use |mod |"'
 
 
 def imports(source: DataFrame) -> DataFrame:
     """file_id, rel, line, spec of each importing line."""
-    return source.select("file_id", "rel", "line", import_spec(F.col("lang"), F.col("text")).alias("spec")).filter("spec IS NOT NULL")
+    likely = source.filter(F.col("text").rlike(IMPORTING))
+    spec = F.explode_outer(F.array(import_spec(F.col("lang"), F.col("text")))).alias("spec")
+    return likely.select("file_id", "rel", "line", spec).filter("spec IS NOT NULL")

@@ -89,6 +89,30 @@ def test_definitions(spark):
     assert [got.get(i) for i in range(len(CASES))] == [c[2] for c in CASES]
 
 
+LONG = "x" * 1_000_000
+NESTED = [
+    ("a.js", "function(" + "a" * 2000 + ") {", None),
+    ("a.js", "function(" + "(" * 50 + ")" * 50 + ") deep() {", ("deep", "func")),
+    ("a.rs", "impl<" + "A<" * 50 + ">" * 50 + "> Deep for X {", ("Deep", "impl")),
+    ("a.rs", "impl<T Open {", None),
+    ("a.go", "func(r T{(x)}) Method() {", ("Method", "method")),
+    ("a.js", "function(a) (b) {", None),
+    ("b.js", LONG + " function( " + LONG + ") tail() {" + LONG, ("tail", "func")),
+    ("c.js", "function(" * 20_000, None),
+    ("d.js", "(" * 300_000 + " class Late {", ("Late", "class")),
+]
+
+
+def test_definitions_of_any_depth_and_length(spark):
+    frame = tree(spark, [(f"{i}/{rel}", line) for i, (rel, line, _) in enumerate(NESTED)])
+    source = symbols.source_lines(frame)
+    got = {r.file_id: (r.name, r.kind) for r in symbols.definitions(source).collect()}
+    assert [got.get(i) for i in range(len(NESTED))] == [c[2] for c in NESTED]
+    assert symbols.imports(source).count() == 0
+    plan = symbols.definitions(source)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") >= 1
+
+
 IMPORTS = [
     ("a.ts", "import { x } from './b';", "./b"),
     ("a.js", 'const y = require("../c")', "../c"),
@@ -180,3 +204,11 @@ def test_paths_against_brute_force(spark):
         assert got == set(brute(edges, sources, targets, most))
         first = [tuple(r.path) for r in paths.find_paths(frame, one(sources), one(targets), most, 3).collect()]
         assert first == sorted(brute(edges, sources, targets, most)[:3], key=lambda p: (len(p), p))
+
+
+def test_paths_stop_at_the_budget(spark):
+    # Ten layers of ten nodes: 10 ** 9 simple paths from the first to the last.
+    edges = [(10 * k + i, 10 * k + 10 + j) for k in range(9) for i in range(10) for j in range(10)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    one = lambda x: spark.createDataFrame([(x,)], "node long")
+    assert {len(r.path) for r in paths.paths(frame, one(0), one(95), 10, visits=50).collect()} == {10}
