@@ -1,85 +1,68 @@
-"""Command line: python -m lodestone {index,search,ask,graph,flow,clues,watch} --dir DIR ..."""
+"""Command line: python -m lodestone {index,search,ask,graph,flow,clues,watch,prompt,serve} --dir DIR ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
-import time
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from lodestone.operators import graph, paths, search, symbols, vectors
-from lodestone.sources import lake
+from lodestone import __version__, service
+from lodestone.operators import paths, providers, search
 from lodestone.streaming import watch
 
+COMMANDS = {"index": (), "search": ("query",), "ask": ("query",), "graph": ("symbol",), "flow": ("source", "target"), "clues": ("term",), "watch": (), "prompt": (), "serve": ()}
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("lodestone").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
 
 
-def code_graph(snapshot: lake.Snapshot) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, call edges and import edges of a snapshot."""
-    files = snapshot.table("files")
-    lines = symbols.source_lines(files)
-    syms = graph.symbols(symbols.definitions(lines), snapshot.table("blocks"))
-    calls = graph.call_edges(symbols.call_tokens(lines), syms)
-    imports = graph.import_edges(graph.resolve(symbols.imports(lines), files.select("file_id", "rel")))
-    return syms, calls, imports
-
-
-def ask(snapshot: lake.Snapshot, question: str, limit: int) -> DataFrame:
-    """Lexical and semantic hits, fused; the vector provider is the snapshot's."""
-    blocks = snapshot.table("blocks")
-    near = vectors.nearest(blocks.join(snapshot.table("vectors"), "hash"), vectors.embed([question], snapshot.manifest["dim"])[0].tolist(), vectors.LIST_SIZE, "block_id")
-    lexical = search.search(blocks, question, vectors.LIST_SIZE).select("block_id", "occurrences", F.octet_length("text").alias("size"))
-    lists = [vectors.ranked(near, [F.desc("score"), F.col("block_id")]), vectors.ranked(lexical, [F.desc("occurrences"), F.col("size"), F.col("block_id")])]
-    return vectors.fuse(lists, "block_id", limit).join(blocks, "block_id").orderBy(F.desc("score"), "block_id")
-
-
-def show(frame: DataFrame, folder: str, began: float) -> None:
-    rows = [r.asDict(recursive=True) for r in frame.collect()]
-    about = lake.stat(folder) or {}
-    meta = {"duration_ms": round((time.time() - began) * 1000), "snapshot_bytes": about.get("bytes"), "snapshot_age_seconds": about.get("age_seconds")}
-    print(json.dumps({"data": rows, "meta": meta}, default=str, ensure_ascii=False, indent=1))
-
-
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone", description=__doc__)
-    p.add_argument("--version", action="version", version="lodestone 0.1")
+    p.add_argument("--version", action="version", version=f"lodestone {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, words in (("index", 0), ("search", 1), ("ask", 1), ("graph", 1), ("flow", 2), ("clues", 1), ("watch", 0)):
+    for name, words in COMMANDS.items():
         c = sub.add_parser(name)
+        for w in words:
+            c.add_argument(w)
         c.add_argument("--dir", default=".")
-        c.add_argument("--limit", type=int, default=search.CLUES_LIMIT if name == "clues" else search.DEFAULT_LIMIT)
+        c.add_argument("--limit", type=int, default={"clues": search.CLUES_LIMIT, "ask": 20}.get(name, search.DEFAULT_LIMIT))
         c.add_argument("--depth", type=int, default=paths.MOST_NODES)
-        c.add_argument("--no-cache", action="store_true")
-        for k in range(words):
-            c.add_argument(("a", "b")[k])
-    args = p.parse_args(argv)
-    spark, began = session(), time.time()
-    folder = lake.directory(args.dir)
-    snapshot = lake.build(spark, args.dir, folder) if args.no_cache else lake.open_or_build(spark, args.dir, folder)
+        c.add_argument("--no-cache", action="store_true", help="build the snapshot anew")
+        c.add_argument("--fast", action="store_true", help="ask: use the vectors there are")
+        c.add_argument("--json", action="store_true")
+        for option in providers.option_names():
+            flag = "--rerank-model" if option == "rerank_model" else f"--embed-{option}"
+            c.add_argument(flag, dest=f"embed_{option}", type=int if option in ("dim", "batch") else str)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    options = providers.Options(**{o: getattr(args, f"embed_{o}") for o in providers.option_names()})
+    provider, notice = providers.resolve(options)
+    if notice and args.command in ("ask", "prompt", "serve"):
+        print(notice, file=sys.stderr)
+    opened = service.Service(session(), args.dir, provider=provider, warm=args.command == "serve", fresh=args.no_cache)
     if args.command == "index":
-        print(json.dumps(snapshot.manifest))
+        print(json.dumps(opened.status()))
     elif args.command == "watch":
-        watch.follow(spark, args.dir, folder, f"{folder}/stream").awaitTermination()
-    elif args.command == "search":
-        hits = search.search(snapshot.table("blocks"), args.a, min(args.limit, search.MOST_LIMIT))
-        show(hits.select("rel", "line", "occurrences", "text"), folder, began)
-    elif args.command == "ask":
-        show(ask(snapshot, args.a, args.limit).select("score", "rel", "line", "text"), folder, began)
+        watch.follow(opened.spark, args.dir, opened.folder, f"{opened.folder}/stream").awaitTermination()
+    elif args.command == "prompt":
+        service.prompt(opened)
+    elif args.command == "serve":
+        service.serve(opened)
     else:
-        syms, calls, imports = code_graph(snapshot)
-        if args.command == "clues":
-            show(graph.clues(search.search(snapshot.table("blocks"), args.a, args.limit), syms, calls), folder, began)
-        elif args.command == "graph":
-            found = graph.neighbourhood(syms, calls, imports, args.a)
-            show(graph.suggest(syms, args.a) if found.isEmpty() else found, folder, began)
-        else:
-            ends = [graph.find_symbol(syms, x).select(F.col("sym_id").alias("node")) for x in (args.a, args.b)]
-            depth = max(2, min(args.depth, 32))
-            show(paths.hops(paths.find_paths(calls, *ends, depth, paths.MOST_PATHS), syms).orderBy("path_text", "hop"), folder, began)
+        if args.command == "ask" and not args.fast:
+            opened.embed()
+        given = {w: getattr(args, w) for w in COMMANDS[args.command]} | {"limit": args.limit, "depth": args.depth}
+        made = service.call(opened, args.command, given)
+        if made["isError"]:
+            print(made["error"], file=sys.stderr)
+            return 1
+        print(json.dumps({"data": made["data"], "meta": made["meta"]}, default=str, ensure_ascii=False, indent=1) if args.json or args.command != "search" else service.render(made["data"]))
     return 0
 
 

@@ -175,10 +175,10 @@ def apply_order(hits: DataFrame, order: DataFrame, limit: int) -> DataFrame:
 
 
 def rerank(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[tuple[int, float]]] | None, limit: int) -> tuple[DataFrame, bool]:
-    """Hits (at most pool_size of them, with a text column) in a scorer's order, and
+    """Hits (of which the first pool_size count, with a text column) in a scorer's order, and
     whether it was used: without a scorer, or with one hit, the fused order stays.  A
     scorer gives (index, relevance) pairs for texts cut to RERANK_CHARS characters."""
-    rows = hits.collect()
+    rows = hits.limit(pool_size(limit)).collect()
     if scorer is None or len(rows) < 2:
         return hits.limit(limit), False
     try:

@@ -69,47 +69,95 @@ def _glob(pattern: str, anchored: bool) -> str:
     return out
 
 
+def excludes_file(home: str | None = None, config: str | None = None) -> str:
+    """The user's own ignore file: core.excludesFile of the git configuration, or the
+    place it has by default."""
+    home = os.path.expanduser("~") if home is None else home
+    config = config or os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    for path in (os.path.join(home, ".gitconfig"), os.path.join(config, "git", "config")):
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                section = re.search(r"(?ims)^\s*\[core\]([^\[]*)", f.read())
+        except OSError:
+            continue
+        found = re.search(r"(?im)^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", section[1]) if section else None
+        if found:
+            return os.path.join(home, found[1][2:]) if found[1].startswith("~/") else found[1]
+    return os.path.join(config, "git", "ignore")
+
+
 class Ignores:
     """Which paths of a tree are left out: hidden ones, those that ignore files name (only
-    inside a repository), and those under given prefixes (an engine's own files)."""
+    inside a repository), and those under given prefixes (an engine's own files).
+
+    Ignore files are the user's own, the repository's info/exclude, and the .gitignore of
+    each folder from the repository's root down, which may lie above the tree."""
 
-    def __init__(self, root: str, own: tuple[str, ...] = ()):
+    def __init__(self, root: str, own: tuple[str, ...] = (), excludes: str | None = None):
         self.root = os.path.abspath(root)
         self.own = tuple(os.path.abspath(p) for p in own)
-        self.use_files = os.path.isdir(os.path.join(self.root, ".git"))
+        self.base = next((d for d in self._upward(self.root) if os.path.exists(os.path.join(d, ".git"))), None)
         self.cache: dict[str, Rules | None] = {}
+        self.common: list[Rules] = []
+        if self.base is not None:
+            above = os.path.relpath(self.root, self.base).replace(os.sep, "/")
+            self.above = [] if above == "." else above.split("/")
+            for path in (excludes or excludes_file(), os.path.join(self.base, ".git", "info", "exclude")):
+                rules = self._read(path, "")
+                self.common += [rules] if rules else []
+
+    @staticmethod
+    def _upward(folder: str) -> Iterator[str]:
+        while True:
+            yield folder
+            if os.path.dirname(folder) == folder:
+                return
+            folder = os.path.dirname(folder)
+
+    @staticmethod
+    def _read(path: str, folder: str) -> Rules | None:
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                return Rules(folder, f.read())
+        except OSError:
+            return None
 
     def rules(self, folder: str) -> Rules | None:
+        """Those of a folder, given from the repository's root."""
         if folder not in self.cache:
-            try:
-                with open(os.path.join(self.root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                    self.cache[folder] = Rules(folder, f.read())
-            except OSError:
-                self.cache[folder] = None
+            self.cache[folder] = self._read(os.path.join(self.base, folder, ".gitignore"), folder)
         return self.cache[folder]
 
     def ignored(self, rel: str, is_dir: bool = False) -> bool:
-        """Whether a path or one of its parents is left out."""
+        """Whether a path or one of its parents in the tree is left out."""
         full = os.path.join(self.root, rel)
         if any(full == p or full.startswith(p + os.sep) for p in self.own):
             return True
         parts = rel.split("/")
         if any(p.startswith(".") for p in parts):
             return True
-        if not self.use_files:
+        if self.base is None:
             return False
-        for k in range(1, len(parts) + 1):
+        parts = [*self.above, *parts]
+        for k in range(len(self.above) + 1, len(parts) + 1):
             sub, as_dir = "/".join(parts[:k]), is_dir or k < len(parts)
-            for j in range(k):
-                r = self.rules("/".join(parts[:j]))
+            for r in (*self.common, *(self.rules("/".join(parts[:j])) for j in range(k))):
                 if r and r.ignores(sub, as_dir):
                     return True
         return False
 
 
-def listing(root: str, own: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
-    """(rel, mtime_ns, bytes) of the files of a tree, sorted; links aren't followed."""
+def listing(root: str, own: tuple[str, ...] = (), only: list[str] | None = None) -> list[tuple[str, int, int]]:
+    """(rel, mtime_ns, bytes) of the files of a tree, sorted; links aren't followed.  Of
+    the paths in `only`, if given, without a walk."""
     ignores, out = Ignores(root, own), []
+    if only is not None:
+        for rel in sorted(set(only)):
+            full = os.path.join(root, rel)
+            if os.path.isfile(full) and not os.path.islink(full) and not ignores.ignored(rel):
+                s = os.stat(full)
+                out.append((rel, s.st_mtime_ns, s.st_size))
+        return out
     for folder, dirs, names in os.walk(root):
         base = os.path.relpath(folder, root)
         base = "" if base == "." else base.replace(os.sep, "/") + "/"
@@ -123,9 +171,25 @@ def listing(root: str, own: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+ID_BITS = 39
+
+
 def file_id(rel: str) -> int:
     """A stable number of a path, small enough to be shifted by 24 bits."""
-    return int.from_bytes(hashlib.blake2b(rel.encode(), digest_size=5).digest(), "big") >> 2
+    return int.from_bytes(hashlib.blake2b(rel.encode(), digest_size=5).digest(), "big") >> (40 - ID_BITS)
+
+
+def file_ids(rels: list[str]) -> dict[str, int]:
+    """Numbers of a tree's paths, all different: where two would be the same, which is
+    likely from a million files on, the later path takes the next one that is free."""
+    out, used = {}, set()
+    for rel in sorted(rels):
+        k = file_id(rel)
+        while k in used:
+            k = (k + 1) % (1 << ID_BITS)
+        used.add(k)
+        out[rel] = k
+    return out
 
 
 def decode(data: bytes) -> str | None:
@@ -134,7 +198,7 @@ def decode(data: bytes) -> str | None:
 
 
 class _Slice(InputPartition):
-    def __init__(self, rows: list[tuple[str, int, int]]):
+    def __init__(self, rows: list[tuple[int, str, int, int]]):
         self.rows = rows
 
 
@@ -142,22 +206,25 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.own = tuple(json.loads(options.get("own", "[]")))
+        self.only = json.loads(options["only"]) if "only" in options else None
         self.tasks = int(options.get("tasks", "8"))
         self.most = int(options.get("mostbytes", options.get("mostBytes", str(MOST_BYTES))))
 
     def partitions(self) -> list[InputPartition]:
-        rows = [r for r in listing(self.root, self.own) if r[2] <= self.most]
+        found = listing(self.root, self.own, self.only)
+        ids = file_ids([r[0] for r in found])
+        rows = [(ids[r[0]], *r) for r in found if r[2] <= self.most]
         n = max(1, min(self.tasks, len(rows)))
         bins: list[list] = [[] for _ in range(n)]
         load = [0] * n
-        for r in sorted(rows, key=lambda r: -r[2]):
+        for r in sorted(rows, key=lambda r: -r[3]):
             k = load.index(min(load))
             bins[k].append(r)
-            load[k] += r[2] + 4096
+            load[k] += r[3] + 4096
         return [_Slice(b) for b in bins]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        for rel, mtime, size in partition.rows:
+        for number, rel, mtime, size in partition.rows:
             full = os.path.join(self.root, rel)
             try:
                 with open(full, "rb") as f:
@@ -165,7 +232,7 @@ class _Reader(DataSourceReader):
             except OSError:
                 continue
             if text is not None:
-                yield file_id(rel), rel, full, mtime, size, text
+                yield number, rel, full, mtime, size, text
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -198,7 +265,8 @@ class _Changes(SimpleDataSourceStreamReader):
 
 
 class FileTree(DataSource):
-    """format("file_tree"): options path, own (JSON list of paths left out), tasks, mostBytes."""
+    """format("file_tree"): options path, own (JSON list of paths left out), only (JSON list
+    of relative paths, instead of the whole tree), tasks, mostBytes."""
 
     @classmethod
     def name(cls) -> str:

@@ -40,16 +40,17 @@ def keyed_sessions(log: DataFrame, key: str, gap: str, late: str | None = None)
 
 
 def follow(spark: SparkSession, root: str, folder: str, checkpoint: str, interval: str = QUIET) -> StreamingQuery:
-    """Keeps the snapshot in `folder` up to date: each batch with a change refreshes it,
-    deletions included."""
+    """Keeps the snapshot in `folder` up to date: a batch brings the paths that changed or
+    went since the last one, and only these are read again."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+        paths = [r[0] for r in batch.select("rel").distinct().collect()]
+        if not paths:
             return
         found = lake.load(spark, folder)
         if found is None:
             lake.build(spark, root, folder)
         else:
-            lake.refresh(found, root)
+            lake.refresh(found, root, paths)
 
     return changes(spark, root, (folder,)).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

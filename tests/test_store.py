@@ -117,3 +117,60 @@ def test_scan_filter_keeps_files_up_to_the_limit(spark, tmp_path):
     texts = [(1, "a" * 20_000), (2, "a" * files.MOST_BYTES), (3, "a" * (files.MOST_BYTES + 1)), (4, "a\0")]
     spark.createDataFrame([(i, "s", t) for i, t in texts], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.file_id for r in queries.scan_filter(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_ignore_files_of_user_repository_and_parents(tmp_path):
+    repo, root = tmp_path / "repo", tmp_path / "repo" / "sub"
+    put(str(repo), ".git/info/exclude", "excluded.txt\n")
+    put(str(repo), ".gitignore", "*.tmp\n/sub/gone/\n")
+    put(str(tmp_path), "mine", "personal.*\n")
+    put(str(root), "in/.gitignore", "local.txt\n")
+    ig = files.Ignores(str(root), excludes=str(tmp_path / "mine"))
+    assert all(ig.ignored(x) for x in ("a.tmp", "in/b.tmp", "gone/x.rs", "excluded.txt", "in/excluded.txt", "personal.md", "in/local.txt"))
+    assert not any(ig.ignored(x) for x in ("a.txt", "in/gone/x.rs", "local.txt", "in/a.rs"))
+    outside = files.Ignores(str(tmp_path), excludes=str(tmp_path / "mine"))
+    assert outside.base is None and not outside.ignored("personal.md")
+    put(str(tmp_path), "home/.gitconfig", "[user]\n name = x\n[core]\n\texcludesFile = ~/ig\n")
+    assert files.excludes_file(str(tmp_path / "home"), str(tmp_path / "none")) == str(tmp_path / "home" / "ig")
+    assert files.excludes_file(str(tmp_path / "none"), str(tmp_path / "c")) == str(tmp_path / "c" / "git" / "ignore")
+
+
+def test_file_numbers_differ(monkeypatch):
+    monkeypatch.setattr(files, "file_id", lambda rel: len(rel) % 2)
+    got = files.file_ids(["a", "b", "cc", "d"])
+    assert len(set(got.values())) == 4 and got == files.file_ids(["d", "cc", "b", "a"])
+
+
+def test_damage_in_any_table_shows(spark, tmp_path):
+    root = str(tmp_path / "src")
+    put(root, "a.rs", "fn one() {\n}\n\nshared words here\n" * 50)
+    for name in lake.TABLES:
+        folder = str(tmp_path / name)
+        os.makedirs(folder)
+        made = lake.build(spark, root, folder)
+        parts = [os.path.join(d, n) for d, _, ns in os.walk(os.path.join(folder, made.id, name)) for n in ns if n.endswith(".parquet")]
+        part = max(parts, key=os.path.getsize)
+        assert lake.load(spark, folder) is not None
+        with open(part, "r+b") as f:
+            f.seek(os.path.getsize(part) // 4)
+            byte = f.read(1)
+            f.seek(-1, os.SEEK_CUR)
+            f.write(bytes([byte[0] ^ 0xFF]))
+        crc = os.path.join(os.path.dirname(part), "." + os.path.basename(part) + ".crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+        spark.catalog.clearCache()
+        assert lake.load(spark, folder, verify=True) is None
+
+
+def test_refresh_of_some_paths(spark, tmp_path):
+    root, folder = str(tmp_path / "src"), str(tmp_path / "lake")
+    for k in range(4):
+        put(root, f"f{k}.txt", f"text {k}\n")
+    os.makedirs(folder)
+    made = lake.build(spark, root, folder)
+    put(root, "f0.txt", "changed\n")
+    put(root, "f1.txt", "changed but not named\n")
+    os.remove(os.path.join(root, "f2.txt"))
+    now, n = lake.refresh(made, root, ["f0.txt", "f2.txt", "f3.txt", "none.txt"])
+    assert n == 2 and {r.rel: r.content for r in now.table("files").collect()} == {"f0.txt": "changed\n", "f1.txt": "text 1\n", "f3.txt": "text 3\n"}
