@@ -51,7 +51,8 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     grouped = part.groupBy(f.cast("long").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), body.alias("b")))), lambda s: s["b"]), "\n").alias("body"))
     n, g = F.col("file_id"), F.col("g")
-    target = grouped.withColumn("g", (3 * n + 1) % 20)
+    files = (part.agg(F.max("p_partkey")).first()[0] or 0) // 100 + 1
+    target = grouped.withColumn("g", (7 * n + 2) % files)
     where = F.concat(F.lit("d"), g % 3, F.lit("/m"), g)
     dotted = F.concat(F.lit("d"), g % 3, F.lit(".m"), g)
     line = (
@@ -82,7 +83,56 @@ linked AS (SELECT s.src, s.file_id, d.sym_id AS dst, d.file_id AS df, n, max((d.
 calls AS (SELECT DISTINCT src, dst FROM linked WHERE src <> dst AND (n = 1 OR df = file_id OR (own = 0 AND n <= 25)))
 """
 
-IMPORTS_SQL = """
-imports AS (SELECT a.file_id AS from_id, b.file_id AS to_id FROM ext a JOIN ext b ON b.file_id = (3 * a.file_id + 1) % 20
+#: The file that each file imports: links are spread over all files, whatever their number.
+TARGETS_SQL = "targets AS (SELECT file_id, ext, (7 * file_id + 2) % (SELECT max(p_partkey) // 100 + 1 FROM part) AS g FROM ext)"
+
+IMPORTS_SQL = (
+    TARGETS_SQL
+    + """,
+imports AS (SELECT a.file_id AS from_id, b.file_id AS to_id FROM targets a JOIN ext b ON b.file_id = a.g
   WHERE a.file_id <> b.file_id AND (a.ext = 'rs' OR b.ext <> 'java'))
 """
+)
+
+#: Texts of the rendered code's blocks: a block is the second definition of the part before
+#: and the first one of a part; the last block of a file has a second definition only.
+CODE_BLOCKS_SQL = """
+styled AS (SELECT *, file_id % 5 AS style, row_number() OVER (PARTITION BY file_id ORDER BY k) AS nth FROM placed),
+rendered AS (SELECT file_id, nth, ['fn ', 'function ', 'def ', 'func ', 'public void '][style + 1] AS a, ['() {', '() {', '():', '() {', '() {'][style + 1] AS z,
+  'f_' || (k % 700) AS f, chr(10) || '    f_' || ((7 * k + 3) % 700) || '(); h_' || (k % 5) || ' (1);' || chr(10) || '}' AS calls, 'h_' || (p_size % 40) AS h FROM styled),
+code_blocks AS (SELECT file_id * 1048576 + nth AS block_id, coalesce(lag(a || h || z || chr(10)) OVER (PARTITION BY file_id ORDER BY nth), '') || a || f || z || calls AS text FROM rendered
+  UNION ALL SELECT file_id * 1048576 + max(nth) + 1, arg_max(a || h || z, nth) FROM rendered GROUP BY file_id)
+"""
+
+#: A line for each rule: extension, text before and after a number, the kind it defines.
+RULE_LINES = (
+    ("rs", "pub fn f_", "(a: u8) {", "func"), ("rs", "pub struct S_", " {", "struct"), ("rs", "enum E_", " {", "enum"), ("rs", "trait R_", ": Sized {", "trait"),
+    ("rs", "type T_", " = u8;", "type"), ("rs", "impl<T, U<V<W>>> I_", " for X {", "impl"), ("rs", "let x_", " = 1;", None), ("rs", "type N_", ";", None),
+    ("ts", "export function f_", "(a) {", "func"), ("tsx", "class C_", " extends X {", "class"), ("js", "interface I_", " {", "interface"), ("mjs", "enum E_", " {", "enum"),
+    ("ts", "type T_", " = string;", "type"), ("jsx", "export const c_", " = async () => {", "func"), ("cjs", "const d_", " = function () {", "func"), ("ts", "const n_", " = 3;", None),
+    ("py", "    def m_", "(self):", "func"), ("py", "class C_", ":", "class"),
+    ("go", "func F_", "() {", "func"), ("go", "func(r *T[(a)]) M_", "() {", "method"), ("go", "type S_", " struct {", "struct"), ("go", "type I_", " interface {", "interface"), ("go", "func (r T) N_", "() {", None),
+    ("java", "public class C_", " {", "class"), ("cs", "interface I_", " {", "interface"), ("kt", "enum E_", " {", "enum"), ("scala", "private static final Map<K,V> m_", "(K k) {", "method"), ("java", "n_", "(args);", None),
+    ("txt", "fn f_", "() {", None),
+)
+
+#: A line for each form of import: extension, text before and after a number, the module
+#: that it names as (before, after), if any.
+IMPORT_LINES = (
+    ("ts", "import { x } from './b", "';", ("./b", "")), ("js", 'const y = require("../c', '")', ("../c", "")), ("ts", "import './side", "';", ("./side", "")), ("ts", "export * from `x/d", "`", ("x/d", "")), ("ts", "export default ", ";", None),
+    ("rs", "use crate::net::h", "::{get, post};", ("net/h", "")), ("rs", "pub mod s", ";", ("s", "")), ("rs", "use std::io", ";", None), ("rs", "pub use crate::a", "::b;", ("a", "/b")),
+    ("py", "from .m", " import x", (".m", "")), ("py", "import os", ", sys", ("os", "")), ("py", "x = ", "", None),
+    ("go", '"github.com/o/r/p', '"', ("github.com/o/r/p", "")), ("go", 'import "a/p', '"', ("a/p", "")), ("go", "x := ", "", None),
+    ("java", "import com.x.F", ";", ("com.x.F", "")), ("kt", "import a.b", "", ("a.b", "")), ("txt", "import a", "", None),
+)
+
+
+def lines_of(spark: SparkSession, sf_dir: str, shapes: tuple) -> DataFrame:
+    """(file_id, rel, content): a file of one line for each part, by its number's shape."""
+    k = F.col("p_partkey")
+    pick = lambda i: F.get(F.array(*[F.lit(s[i]) for s in shapes]), (k % len(shapes)).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("file_id"), F.concat(F.lit("m"), k, F.lit("."), pick(0)).alias("rel"), F.concat(pick(1), k, pick(2)).alias("content"))
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.shared import cut
-from lodestone.operators import chunk, graph, paths, search, symbols, vectors
+from lodestone.operators import ask, chunk, graph, paths, search, symbols, vectors
 from lodestone.plans import corpora
-from lodestone.plans.corpora import CODE_SQL, DOCUMENTS_SQL, IMPORTS_SQL, table
+from lodestone.plans.corpora import CODE_BLOCKS_SQL, CODE_SQL, DOCUMENTS_SQL, IMPORT_LINES, IMPORTS_SQL, RULE_LINES, TARGETS_SQL, sql_list, table
 from lodestone.sources import lake
 from lodestone.sources.files import MOST_BYTES
 from lodestone.streaming import watch
@@ -72,7 +72,7 @@ def blocks(spark, sf_dir):
     return _blocks(spark, sf_dir).select("block_id", "rel", "line", "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("SELECT file_id, rel, len FROM (SELECT doc_id AS file_id, source || '/' || doc_id || '.txt' AS rel, strlen(text)::BIGINT AS len, text FROM documents) WHERE len <= 16384 AND NOT contains(left(text, 8192), chr(0))")
+@query("SELECT file_id, rel, len FROM (SELECT doc_id AS file_id, source || '/' || doc_id || '.txt' AS rel, strlen(text)::BIGINT AS len, text FROM documents) WHERE len <= 5242880 AND NOT contains(left(text, 8192), chr(0))")
 def scan_filter(spark, sf_dir):
     size = F.octet_length("text").cast("long")
     files = table(spark, sf_dir, "documents").filter((size <= MOST_BYTES) & ~F.contains(F.substring(F.col("text").cast("binary"), 1, 8192), F.lit(b"\x00")))
@@ -164,6 +164,26 @@ def defs(spark, sf_dir):
     return symbols.definitions(symbols.source_lines(corpora.code(spark, sf_dir))).select("file_id", "line", "name", "kind")
 
 
+_RULE = "p_partkey % " + str(len(RULE_LINES)) + " + 1"
+
+
+@query(
+    f"SELECT p_partkey AS file_id, regexp_extract({sql_list([s[1] for s in RULE_LINES])}[{_RULE}], '[A-Za-z]_$') || p_partkey AS name, {sql_list([s[3] for s in RULE_LINES])}[{_RULE}] AS kind FROM part WHERE kind IS NOT NULL"
+)
+def defs_of_rules(spark, sf_dir):
+    return symbols.definitions(symbols.source_lines(corpora.lines_of(spark, sf_dir, RULE_LINES))).select("file_id", "name", "kind")
+
+
+_FORM = "p_partkey % " + str(len(IMPORT_LINES)) + " + 1"
+
+
+@query(
+    f"SELECT p_partkey AS file_id, {sql_list([s[3] and s[3][0] for s in IMPORT_LINES])}[{_FORM}] || p_partkey || {sql_list([s[3] and s[3][1] for s in IMPORT_LINES])}[{_FORM}] AS spec FROM part WHERE spec IS NOT NULL"
+)
+def imports_of_forms(spark, sf_dir):
+    return symbols.imports(symbols.source_lines(corpora.lines_of(spark, sf_dir, IMPORT_LINES))).select("file_id", "spec")
+
+
 @query(_with(CODE_SQL) + " SELECT sym_id, name, kind, file_id, line::INT AS line, block_id FROM symbols", "symbols")
 def symbols_(spark, sf_dir):
     return _code(spark, sf_dir)[1]
@@ -186,7 +206,7 @@ def call_tokens(spark, sf_dir):
     return symbols.call_tokens(pages).groupBy(F.col("file_id").alias("page_id")).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
 
-@query(_with(CODE_SQL) + ", g AS (SELECT file_id, ext, (3 * file_id + 1) % 20 AS g FROM ext) SELECT file_id, CASE ext WHEN 'rs' THEN 'm' || g WHEN 'ts' THEN '../d' || (g % 3) || '/m' || g WHEN 'go' THEN 'example.com/r/d' || (g % 3) || '/m' || g ELSE 'd' || (g % 3) || '.m' || g END AS spec FROM g")
+@query(_with(CODE_SQL, TARGETS_SQL) + " SELECT file_id, CASE ext WHEN 'rs' THEN 'm' || g WHEN 'ts' THEN '../d' || (g % 3) || '/m' || g WHEN 'go' THEN 'example.com/r/d' || (g % 3) || '/m' || g ELSE 'd' || (g % 3) || '.m' || g END AS spec FROM targets")
 def imports_raw(spark, sf_dir):
     return symbols.imports(symbols.source_lines(corpora.code(spark, sf_dir))).select("file_id", "spec")
 
@@ -196,7 +216,7 @@ def import_edges(spark, sf_dir):
     return _imports(spark, sf_dir)
 
 
-@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT from_id, CASE a.ext WHEN 'rs' THEN 'm' || to_id WHEN 'ts' THEN '../d' || (to_id % 3) || '/m' || to_id WHEN 'go' THEN 'example.com/r/d' || (to_id % 3) || '/m' || to_id ELSE 'd' || (to_id % 3) || '.m' || to_id END AS spec, to_id FROM (SELECT a.file_id AS from_id, b.file_id AS to_id FROM ext a JOIN ext b ON b.file_id = (3 * a.file_id + 1) % 20 WHERE a.ext = 'rs' OR b.ext <> 'java') JOIN ext a ON a.file_id = from_id")
+@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT from_id, CASE a.ext WHEN 'rs' THEN 'm' || to_id WHEN 'ts' THEN '../d' || (to_id % 3) || '/m' || to_id WHEN 'go' THEN 'example.com/r/d' || (to_id % 3) || '/m' || to_id ELSE 'd' || (to_id % 3) || '.m' || to_id END AS spec, to_id FROM (SELECT a.file_id AS from_id, b.file_id AS to_id FROM targets a JOIN ext b ON b.file_id = a.g WHERE a.ext = 'rs' OR b.ext <> 'java') JOIN ext a ON a.file_id = from_id")
 def resolve_imports(spark, sf_dir):
     files = corpora.code(spark, sf_dir).select("file_id", "rel", "content")
     return graph.resolve(symbols.imports(symbols.source_lines(files)), files.select("file_id", "rel"))
@@ -243,27 +263,27 @@ def find_symbol(spark, sf_dir):
 
 
 def _near(a: str, b: str) -> str:
-    return _with(CODE_SQL) + f" SELECT s.sym_id, c.{b} AS other, o.name AS other_name FROM symbols s JOIN calls c ON c.{a} = s.sym_id JOIN symbols o ON o.sym_id = c.{b} WHERE s.name = 'f_7' QUALIFY row_number() OVER (PARTITION BY s.sym_id ORDER BY c.{b}) <= 50"
+    return _with(CODE_SQL) + f" SELECT s.sym_id, c.{b} AS other, o.name AS other_name FROM symbols s JOIN calls c ON c.{a} = s.sym_id JOIN symbols o ON o.sym_id = c.{b} WHERE s.name = 'f_10' QUALIFY row_number() OVER (PARTITION BY s.sym_id ORDER BY c.{b}) <= 50"
 
 
 @query(_near("src", "dst"))
 def callees(spark, sf_dir):
-    return graph.neighbours(*_calls(spark, sf_dir), "f_7", True, 50)
+    return graph.neighbours(*_calls(spark, sf_dir), "f_10", True, 50)
 
 
 @query(_near("dst", "src"))
 def callers(spark, sf_dir):
-    return graph.neighbours(*_calls(spark, sf_dir), "f_7", False, 50)
+    return graph.neighbours(*_calls(spark, sf_dir), "f_10", False, 50)
 
 
-@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT sym_id, from_id FROM symbols JOIN imports ON to_id = file_id WHERE name = 'f_7' QUALIFY row_number() OVER (PARTITION BY sym_id ORDER BY from_id) <= 20")
+@query(_with(CODE_SQL, IMPORTS_SQL) + " SELECT sym_id, from_id FROM symbols JOIN imports ON to_id = file_id WHERE name = 'f_10' QUALIFY row_number() OVER (PARTITION BY sym_id ORDER BY from_id) <= 20")
 def importers(spark, sf_dir):
-    return graph.importers(_code(spark, sf_dir)[1], _imports(spark, sf_dir), "f_7")
+    return graph.importers(_code(spark, sf_dir)[1], _imports(spark, sf_dir), "f_10")
 
 
 @query(
     _with(CODE_SQL, IMPORTS_SQL)
-    + """, s AS (SELECT * FROM symbols WHERE name = 'f_7'),
+    + """, s AS (SELECT * FROM symbols WHERE name = 'f_10'),
   o AS (SELECT sym_id, string_agg(x::VARCHAR, ',' ORDER BY x) AS l FROM (SELECT sym_id, dst AS x FROM s JOIN calls ON src = sym_id QUALIFY row_number() OVER (PARTITION BY sym_id ORDER BY dst) <= 50) GROUP BY 1),
   i AS (SELECT sym_id, string_agg(x::VARCHAR, ',' ORDER BY x) AS l FROM (SELECT sym_id, src AS x FROM s JOIN calls ON dst = sym_id QUALIFY row_number() OVER (PARTITION BY sym_id ORDER BY src) <= 50) GROUP BY 1),
   m AS (SELECT sym_id, string_agg(x::VARCHAR, ',' ORDER BY x) AS l FROM (SELECT sym_id, from_id AS x FROM s JOIN imports ON to_id = file_id QUALIFY row_number() OVER (PARTITION BY sym_id ORDER BY from_id) <= 20) GROUP BY 1)
@@ -272,7 +292,7 @@ def importers(spark, sf_dir):
 )
 def graph_neighborhood(spark, sf_dir):
     syms, edges = _calls(spark, sf_dir)
-    return graph.neighbourhood(syms, edges, _imports(spark, sf_dir), "f_7")
+    return graph.neighbourhood(syms, edges, _imports(spark, sf_dir), "f_10")
 
 
 @query(_with(CODE_SQL) + " SELECT DISTINCT name FROM symbols WHERE contains(lower(name), 'h_1') ORDER BY name LIMIT 6")
@@ -281,20 +301,18 @@ def suggest(spark, sf_dir):
 
 
 @query(
-    _with(CODE_SQL)
-    + """, near AS (SELECT src AS a, dst AS b, 'c' AS way FROM calls UNION ALL SELECT dst, src, 'b' FROM calls),
+    _with(CODE_SQL, CODE_BLOCKS_SQL)
+    + """, hits AS (SELECT block_id, ((length(text) - length(replace(text, 'f_10()', ''))) / 6)::BIGINT AS occurrences FROM code_blocks WHERE contains(text, 'f_10()')
+    ORDER BY occurrences DESC, strlen(text), block_id LIMIT 15),
+  near AS (SELECT src AS a, dst AS b, 'c' AS way FROM calls UNION ALL SELECT dst, src, 'b' FROM calls),
   few AS (SELECT a, way, o.name AS n, row_number() OVER (PARTITION BY a, way ORDER BY b) AS k FROM near JOIN symbols o ON o.sym_id = b QUALIFY k <= 6),
   l AS (SELECT a, way, string_agg(n, ',' ORDER BY k) AS names FROM few GROUP BY a, way)
-  SELECT block_id, 1::BIGINT AS occurrences, sym_id, name, kind, coalesce(c.names, '') AS calls, coalesce(b.names, '') AS called_by
-  FROM (SELECT * FROM symbols WHERE name = 'f_14') s LEFT JOIN l c ON c.a = sym_id AND c.way = 'c' LEFT JOIN l b ON b.a = sym_id AND b.way = 'b'"""
+  SELECT block_id, occurrences, sym_id, name, kind, coalesce(c.names, '') AS calls, coalesce(b.names, '') AS called_by
+  FROM hits LEFT JOIN symbols USING (block_id) LEFT JOIN l c ON c.a = sym_id AND c.way = 'c' LEFT JOIN l b ON b.a = sym_id AND b.way = 'b'"""
 )
 def clues(spark, sf_dir):
-    files = corpora.code(spark, sf_dir)
-    syms, edges = _calls(spark, sf_dir)
-    mine = graph.find_symbol(syms, "f_14").select("block_id").distinct()
-    hits = chunk.blocks(files).join(mine, "block_id", "left_semi").withColumn("occurrences", F.lit(1).cast("long"))
-    found = graph.clues(hits, syms, edges)
-    return found.filter("name = 'f_14'")
+    hits = search.search(chunk.blocks(corpora.code(spark, sf_dir)), "F_10()", search.CLUES_LIMIT)
+    return graph.clues(hits, *_calls(spark, sf_dir))
 
 
 def _generic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,45 +399,79 @@ def coverage(spark, sf_dir):
     return vectors.coverage(docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("hash")))
 
 
-@query(None)
+def _embed_sql(texts: str) -> str:
+    """Hashed features of (id, low): words of two bytes or more and byte trigrams, each at
+    its hash and, by half, at the hash's upper half; (id, i, v) of length one."""
+    return f"""
+t AS ({texts}),
+grams AS (SELECT id, hex(encode(w)) AS h, 1.0::DOUBLE AS weight FROM (SELECT id, unnest(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}]+')) AS w FROM t) WHERE strlen(w) >= 2
+  UNION ALL SELECT id, substr(x, 2 * i + 1, 6), 0.5 FROM (SELECT id, x, unnest(range(0, length(x) // 2 - 2)) AS i FROM (SELECT id, hex(encode(low)) AS x FROM t))),
+counted AS (SELECT id, h, sum(weight) AS w FROM grams GROUP BY id, h),
+fnv AS (SELECT h, ('0x' || {_FNV.format(h="h")})::UBIGINT AS v FROM (SELECT DISTINCT h FROM counted)),
+placed_at AS (SELECT id, (v % 256)::INT AS i, w FROM counted JOIN fnv USING (h) UNION ALL SELECT id, ((v >> 32) % 256)::INT, w / 2 FROM counted JOIN fnv USING (h)),
+summed AS (SELECT id, i, sum(w) AS w FROM placed_at GROUP BY id, i),
+vec AS (SELECT id, i, (w / sqrt(sum(w * w) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM summed)
+"""
+
+
+@query(
+    _with(_embed_sql("SELECT doc_id AS id, lower(coalesce(text, '')) AS low FROM documents"))
+    + " SELECT doc_id, round(coalesce(sqrt(sum(v * v)), 0), 4) AS norm, round(coalesce(max(v), 0), 4) AS top FROM documents LEFT JOIN vec ON id = doc_id GROUP BY doc_id"
+)
 def hash_embed(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", vectors.hash_embed(F.col("text")).alias("v"))
-    return found.select("doc_id", F.round(vectors.norm(F.col("v")), 4).alias("norm"), F.round(F.array_max("v"), 4).alias("top"))
+    return found.select("doc_id", F.round(vectors.norm(F.col("v")), 4).alias("norm"), F.round(F.array_max("v").cast("double"), 4).alias("top"))
+
+
+_QUESTION = "tion the"
+_FUSED = f"""
+near AS (SELECT b.id AS block_id, round(sum(b.v * q.v), 6) AS score FROM vec b JOIN vec q ON q.i = b.i AND q.id = -1 WHERE b.id <> -1 GROUP BY b.id),
+one AS (SELECT block_id, row_number() OVER (ORDER BY score DESC, block_id) - 1 AS place FROM near QUALIFY place < 200),
+two AS (SELECT block_id, row_number() OVER (ORDER BY {_occ(_QUESTION)} DESC, strlen(text), block_id) - 1 AS place FROM blocks WHERE contains({_HIT}, '{_QUESTION}') QUALIFY place < 200)
+"""
 
 
-@query(None)
+@query(
+    _with(DOCUMENTS_SQL, _embed_sql(f"SELECT block_id AS id, {_HIT} AS low FROM blocks UNION ALL SELECT -1, '{_QUESTION}'"), _FUSED)
+    + " SELECT block_id, round(sum(1 / (60.0::DOUBLE + place)), 6) AS score, 'rrf' AS ranked_by FROM (FROM one UNION ALL FROM two) GROUP BY block_id ORDER BY score DESC, block_id LIMIT 20"
+)
 def ask_hybrid(spark, sf_dir):
-    """Lexical and semantic lists over blocks, fused; vectors are made for each content."""
-    found = chunk.hashed(_blocks(spark, sf_dir))
-    made = found.groupBy("hash").agg(F.min("text").alias("text")).select("hash", vectors.hash_embed(F.col("text")).alias("embedding"))
-    question = "ation therly"
-    q = vectors.embed([question])[0].tolist()
-    near = vectors.nearest(found.join(made, "hash"), q, vectors.LIST_SIZE, "block_id")
-    lexical = search.search(found, question, vectors.LIST_SIZE).select("block_id", "occurrences", F.octet_length("text").alias("size"))
-    lists = [vectors.ranked(near, [F.desc("score"), F.col("block_id")]), vectors.ranked(lexical, [F.desc("occurrences"), F.col("size"), F.col("block_id")])]
-    return vectors.fuse(lists, "block_id", 20).withColumn("ranked_by", F.lit("rrf"))
-
-
-@query("SELECT idx, pos, label FROM (SELECT vec_id AS idx, label FROM embeddings WHERE vec_id < 80) JOIN (SELECT idx, min(pos) AS pos FROM (SELECT (vec_id * 37) % 90 AS idx, vec_id AS pos FROM embeddings WHERE vec_id < 20) GROUP BY idx) USING (idx)")
+    """Lexical and semantic lists over blocks, fused; vectors are made once for each content
+    and read back from their table."""
+    found = cut(chunk.hashed(_blocks(spark, sf_dir)))
+    made = cut(vectors.missing(found, spark.createDataFrame([], "hash string")).select("hash", vectors.hash_embed(F.col("text")).alias("embedding")))
+    return ask.fused(found, made, _QUESTION, vectors.embed([_QUESTION])[0].tolist(), 20).withColumn("ranked_by", F.lit("rrf"))
+
+
+_POOL = "pool AS (SELECT row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS idx, vec_id, label FROM (SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], " + _Q.format(0) + "), 6) AS score FROM embeddings) QUALIFY idx < 80)"
+
+
+@query(f"WITH {_POOL} SELECT idx::INT AS idx, pos::INT AS pos, vec_id, label FROM pool JOIN (SELECT (idx * 38) % 90 AS idx, min(idx) AS pos FROM pool WHERE idx < 20 GROUP BY 1) USING (idx)")
 def rerank_apply(spark, sf_dir):
+    """The first hits of a whole search in an order with repeated and unknown entries."""
     v = table(spark, sf_dir, "embeddings")
-    hits = v.filter(F.col("vec_id") < vectors.pool_size(20)).select(F.col("vec_id").alias("idx"), "label")
-    order = v.select(((F.col("vec_id") * 37) % 90).alias("idx"), F.col("vec_id").alias("pos"))
-    return vectors.apply_order(hits, order, 20).select("idx", "pos", "label")
+    near = vectors.nearest(v, _vector(spark, sf_dir, 0), vectors.pool_size(20))
+    pool = vectors.ranked(near, [F.desc("score"), F.col("vec_id")]).join(v.select("vec_id", "label"), "vec_id")
+    order = pool.select(((F.col("place") * 38) % 90).alias("idx"), F.col("place").alias("pos"))
+    return vectors.apply_order(pool.withColumnRenamed("place", "idx"), order, 20).select("idx", "pos", "vec_id", "label")
 
 
 @query("SELECT vec_id, greatest(vec_id, least(4 * vec_id, 100)) AS pool FROM embeddings")
 def rerank_pool(spark, sf_dir):
-    n = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.greatest(n, F.least(n * vectors.POOL_FACTOR, F.lit(vectors.POOL_MOST))).cast("long").alias("pool"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.pandas_udf(lambda n: n.map(vectors.pool_size), "long")("vec_id").alias("pool"))
 
 
-@query("SELECT lower(printf('%016x', xor(bit_xor(h), count(*)::UBIGINT))) AS fingerprint, count(*)::BIGINT AS files FROM (SELECT md5_number_lower(text) AS h FROM documents)", "fingerprint")
-def fingerprint(spark, sf_dir):
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A content hash of each document: the lower half of its MD5, as DuckDB reads it."""
     docs = table(spark, sf_dir, "documents")
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     little = F.concat(*[F.substring(digest, 33 - 2 * k, 2) for k in range(1, 9)])
-    return lake.fingerprint(docs.select(little.alias("hash")))
+    return docs.select(little.alias("hash"))
+
+
+@query("SELECT lower(printf('%016x', xor(bit_xor(h), count(*)::UBIGINT))) AS fingerprint, count(*)::BIGINT AS files FROM (SELECT md5_number_lower(text) AS h FROM documents)", "fingerprint")
+def fingerprint(spark, sf_dir):
+    return lake.fingerprint(_digests(spark, sf_dir))
 
 
 @query(
@@ -441,12 +493,12 @@ def stats(spark, sf_dir):
 
 
 @query(
-    "SELECT count(*)::BIGINT AS files, lower(printf('%016x', xor(bit_xor(md5_number_lower(coalesce(text, ''))), count(*)::UBIGINT))) AS fingerprint, (SELECT count(*) FROM embeddings)::BIGINT AS vectors, 'hash:256' AS provider FROM documents",
+    _with(DOCUMENTS_SQL)
+    + " SELECT 1 AS version, count(*)::BIGINT AS files, lower(printf('%016x', xor(bit_xor(md5_number_lower(coalesce(text, ''))), count(*)::UBIGINT))) AS fingerprint, (SELECT count(*) FROM blocks)::BIGINT AS blocks, (SELECT count(*) FROM embeddings)::BIGINT AS vectors, 'hash:256' AS provider, 256 AS dim FROM documents"
 )
 def manifest(spark, sf_dir):
-    f = fingerprint(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"))
-    return f.join(F.broadcast(v), F.lit(True)).select("files", "fingerprint", "vectors", F.lit("hash:256").alias("provider"))
+    made = lake.manifest(_digests(spark, sf_dir), _blocks(spark, sf_dir), table(spark, sf_dir, "embeddings"), "hash:256", 256)
+    return spark.createDataFrame([made], "version int, files long, fingerprint string, blocks long, vectors long, provider string, dim int")
 
 
 _OLD = "(SELECT conv_id * 100 + turn AS rel, length(text) AS len, turn AS mtime_ns FROM conversations WHERE conv_id % 5 <> 0)"
