@@ -13,11 +13,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, minhash, mixing, quality, toxicity
-from lodestone.llm.text import cut, shared_dir, table
+from lodestone.llm.text import shared_dir, table
 
 #: Votes, learned taggers, sketches and alignments can't be stated in SQL.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ ORACLE_SQL = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules keep."""
-    return quality.assess(docs).filter(F.col("_quality.kept")).drop("_quality")
+    return quality.kept_by(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +37,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, five-word shingles at 0.8 or more."""
-    groups = minhash.components(docs.select("doc_id", "text"), percent=80)
-    gone = cut(groups.filter(~F.col("kept")).select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated.select(kept.columns))
+    return minhash.distinct_documents(docs, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
