@@ -25,3 +25,9 @@ def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and written to the shared folder."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import BLANK, bind, fnv64_bulk, lines, trigrams
 
 MOST_LINES = 80
-SEQUENCE_BITS = 20
+#: A file of 5 MiB has fewer blocks than these bits can number.
+SEQUENCE_BITS = 21
 
 
 def _starts(ls: Column) -> Column:

@@ -111,16 +111,17 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 256) -> DataFrame:
     """(query_id, key, score, rank): the exact k nearest of each query, queries in blocks.
 
-    A block of queries (a bounded number of vectors) is a matrix that every partition
+    A block of queries (dealt by hash, about `block` vectors) is a matrix that every partition
     multiplies with its batches; each batch passes on its k best for each query, so the
     shuffle holds k rows for a query and batch, never all pairs."""
     spark = vectors.sparkSession
-    rows = queries.select("query_id", column).orderBy("query_id")
     best = None
-    count = queries.count()
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("query_id")) - 1)
-    for start in range(0, count, block):
-        got = numbered.filter((F.col("_n") >= start) & (F.col("_n") < start + block)).collect()
+    blocks = -(-queries.count() // block)
+    dealt = queries.select("query_id", column, F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).alias("_n"))
+    for k_block in range(blocks):
+        got = dealt.filter(F.col("_n") == k_block).collect()
+        if not got:
+            continue
         held = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r[1] for r in got], np.float64)))
         part = vectors.select(key, column).mapInPandas(_multiply(held, k, key, column), f"query_id long, {key} long, score double")
         best = part if best is None else best.union(part)

@@ -30,7 +30,7 @@ each_line AS (SELECT file_id, rel, unnest(string_split(content, chr(10))) AS l,
 islands AS (SELECT *, trim(l) = '' AS blank, sum((trim(l) = '')::INT) OVER (PARTITION BY file_id ORDER BY n) AS island FROM each_line),
 chunks AS (SELECT *, (row_number() OVER (PARTITION BY file_id, island ORDER BY n) - 1) // 80 AS chunk FROM islands WHERE NOT blank),
 runs AS (SELECT file_id, rel, min(n) AS line, count(*) AS n_lines, string_agg(l, chr(10) ORDER BY n) AS text FROM chunks GROUP BY file_id, rel, island, chunk),
-blocks AS (SELECT file_id * 1048576 + row_number() OVER (PARTITION BY file_id ORDER BY line) - 1 AS block_id, file_id, rel, line, n_lines, text FROM runs)
+blocks AS (SELECT file_id * 2097152 + row_number() OVER (PARTITION BY file_id ORDER BY line) - 1 AS block_id, file_id, rel, line, n_lines, text FROM runs)
 """
 
 
@@ -74,7 +74,7 @@ placed AS (SELECT p_partkey AS k, p_partkey // 100 AS file_id, p_size,
 defs AS (SELECT file_id, line, 'f_' || (k % 700) AS name FROM placed UNION ALL SELECT file_id, line + 4, 'h_' || (p_size % 40) FROM placed),
 ext AS (SELECT DISTINCT file_id, ['rs', 'ts', 'py', 'go', 'java'][file_id % 5 + 1] AS ext FROM placed),
 symbols AS (SELECT file_id * 16777216 + line AS sym_id, name, CASE WHEN ext = 'java' THEN 'method' ELSE 'func' END AS kind, file_id, line,
-  file_id * 1048576 + (CASE WHEN (line - 3) % 5 = 0 THEN (line - 3) // 5 + 1 ELSE (line - 7) // 5 + 2 END) AS block_id FROM defs JOIN ext USING (file_id)),
+  file_id * 2097152 + (CASE WHEN (line - 3) % 5 = 0 THEN (line - 3) // 5 + 1 ELSE (line - 7) // 5 + 2 END) AS block_id FROM defs JOIN ext USING (file_id)),
 sites AS (SELECT DISTINCT file_id * 16777216 + line AS src, file_id, unnest(['f_' || (k % 700), 'f_' || ((7 * k + 3) % 700), 'h_' || (k % 5)]) AS name FROM placed
   UNION SELECT file_id * 16777216 + line + 4, file_id, 'h_' || (p_size % 40) FROM placed),
 named AS (SELECT name, count(*) AS n FROM symbols GROUP BY name),
@@ -100,8 +100,8 @@ CODE_BLOCKS_SQL = """
 styled AS (SELECT *, file_id % 5 AS style, row_number() OVER (PARTITION BY file_id ORDER BY k) AS nth FROM placed),
 rendered AS (SELECT file_id, nth, ['fn ', 'function ', 'def ', 'func ', 'public void '][style + 1] AS a, ['() {', '() {', '():', '() {', '() {'][style + 1] AS z,
   'f_' || (k % 700) AS f, chr(10) || '    f_' || ((7 * k + 3) % 700) || '(); h_' || (k % 5) || ' (1);' || chr(10) || '}' AS calls, 'h_' || (p_size % 40) AS h FROM styled),
-code_blocks AS (SELECT file_id * 1048576 + nth AS block_id, coalesce(lag(a || h || z || chr(10)) OVER (PARTITION BY file_id ORDER BY nth), '') || a || f || z || calls AS text FROM rendered
-  UNION ALL SELECT file_id * 1048576 + max(nth) + 1, arg_max(a || h || z, nth) FROM rendered GROUP BY file_id)
+code_blocks AS (SELECT file_id * 2097152 + nth AS block_id, coalesce(lag(a || h || z || chr(10)) OVER (PARTITION BY file_id ORDER BY nth), '') || a || f || z || calls AS text FROM rendered
+  UNION ALL SELECT file_id * 2097152 + max(nth) + 1, arg_max(a || h || z, nth) FROM rendered GROUP BY file_id)
 """
 
 #: A line for each rule: extension, text before and after a number, the kind it defines.
