@@ -3,9 +3,13 @@
 Each stage function takes (spark, docs, sf_dir) and returns what it keeps, with the
 columns of documents; the last returns the training stream.
 
-Null and repeated rows: a stage judges each row by its own text; the near-dedup stage keeps
-one row of each group (of rows with the smallest doc_id, the one with the smallest text
-hash) and all rows without a doc_id.  Extra columns of documents pass through.
+Defined results: null, empty and very short texts fail the quality rules; in a later stage
+on its own they stay (the mix takes no copy of a text without words).  A stage judges each
+row by its own whole text, however long; repeated rows are judged alike, and the near-dedup
+stage keeps one row of each group: of the smallest doc_id (null last), then of the smallest
+text hash.  Other columns of documents pass through under their names, whatever these are,
+up to the last stage.  Empty tables give an empty result; without labels of both kinds no
+document is toxic.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import remove
 from lodestone.llm import decontaminate, minhash, mixing, quality, toxicity
 from lodestone.llm.text import shared_dir, table
 
@@ -60,9 +65,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents.  A stage's input goes once its output is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
