@@ -7,32 +7,38 @@ the V training tokens and one unknown token (which gets NEW of the base, as new
 mostly new words).  Customers are tokens of the training texts; each table of a context
 restaurant is a customer of the parent.
 
-Seating is sampled by Gibbs.  In a cell (context and dish) of up to SMALL customers, single
-customers leave and sit down again; in larger cells, and in the parent, the number of
-tables is drawn anew as a whole from its conditional distribution given the customers, by
-Stirling numbers up to SMALL customers and by their limit beyond, so a dish with any number
-of customers costs constant time and memory.  Predictive probabilities are averaged over SAMPLES
-sweeps after BURN ones.  Discounts come from the counts of cells with one and two customers
-and of dishes with one and two contexts, over all training texts.
+Seating is sampled by blocked Gibbs: in each sweep all customers of every cell (context and
+dish), however many, leave together and are seated anew given everything else.  Only the
+number of tables matters to the rest, and its conditional is known: in proportion to a
+generalised Stirling number times a power of the restaurant's pull.  Up to EXACT customers
+it is drawn from that table, beyond from its limit law, whose first two terms agree with
+the table's (so a dish with any number of customers costs constant time and memory).
+Predictive probabilities are averaged over SAMPLES sweeps after BURN ones.  Discounts come
+from the counts of cells with one and two customers and of dishes with one and two
+contexts, over all training texts.
 
 Data flow: texts are cut into blocks of about BLOCK bytes.  A block sends its distinct
-cells (context, dish, count), packed by hash of the dish, to one of as many buckets; a
+cells (context, dish, count), packed by hash of the dish, to one of half as many buckets
+(no more rows than it has distinct tokens, so rows grow with the input); a
 bucket has all cells of its dishes, samples their seating, and answers each block in the
 order it asked; a block then adds up its texts.  Sums over a context lie in many buckets:
 each bucket sends its own, by hash of the context, and gets the whole ones back (customers
-and cells before sampling, tables of each kept sweep before the answers).  So what moves
-is distinct cells of blocks, twice, the contexts of buckets, twice, and the texts.
+and cells before sampling; before the answers tables of each kept sweep, of contexts that
+several buckets hold).  Contexts travel as 40 bits of their hash, logarithms in 24 bits.
+All of that is one plan, in which the exchanges of texts and of cells are made once and
+read again, so nothing but shuffle files is written, and lost ones are made again.
 Sampling is seeded by bucket and repeated for the exact table totals before the answers,
 which makes the averaged probabilities sum to one over the V + 1 tokens.
 
 Defined results: null and empty texts are one end token; repeated rows are scored alike
 and each counts in training; an empty table gives an empty result; with no training text
-all tokens are unknown and get log10 of NEW (base: log10(0.1 / 0.1) = 0).
+all tokens are unknown and get log10 of NEW (base: log10(0.1 / 0.1) = 0); very long texts
+make a block of their own size; only doc_id, text and learn are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -40,30 +46,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import cut, words_of
+from lodestone.llm.text import words_of
 
-#: Contexts are words, so no classes of them take room in the gathered sums.
-CLASSES = 0
 THETA = 1.0
 NEW = 0.9
 BLOCK = 16 << 20
-SMALL = 128
-MOVES = 6
+EXACT = 1024
 BURN, SAMPLES = 2, 3
 SENT = "bucket int, block int, words binary, cells binary, contexts binary, counts binary"
 OFFERED = "slice int, bucket int, names binary, sums binary"
-TOTALS = "bucket int, names binary, sums binary"
-ANSWER = "block int, bucket int, seen binary, logs binary"
-SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
+TOTALS = "bucket int, slice int, sums binary"
+ANSWER = "block int, bucket int, seen binary, logs binary, n double, v double"
+SCORED = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = b""
-#: Names, among contexts, of sums over everything: of the parent's tables, and of cells or
-#: the parent's customers.
-PARENT, WHOLE = np.uint64(0), np.uint64(1)
+#: Names, among contexts, of pairs of sums over everything: training tokens and distinct
+#: ones; cells with one and two customers; dishes with one and two contexts; cells; and
+#: tables of the parent and its customers.
+TOKENS, CELLS, DISHES, ALL, PARENT = range(5)
+FIRST_NAME = 16
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The names of contexts: 40 bits of their hashes, in the same order."""
+    return np.maximum(hashes >> np.uint64(24), np.uint64(FIRST_NAME))
+
+
+def packed(numbers: np.ndarray, width: int = 5) -> bytes:
+    """Whole numbers below 256 ** width: names, sums and counts."""
+    return np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: list[bytes], width: int = 5) -> np.ndarray:
+    parts = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, :width] = parts
+    return out.view(np.uint64).ravel()
+
+
+def small(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+
+
+def from_small(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.uint32, offset=n) if len(data) > n else []
+    return out
+
+
+#: Logarithms travel as multiples of this: 24 bits reach to 10 ** -16.
+STEP = 16 / (1 << 24)
+
+
+def rounded(logs: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(-logs / STEP), (1 << 24) - 1).astype(np.uint64)
 
 
 def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: hashes of its distinct tokens in rising order, then for every token of
-    every text (texts one after another) its place in them and the hash of its context, the
+    every text (texts one after another) its place in them and the place of its context, the
     token before (an end before a text's first), and the number of tokens of each text."""
     ids: dict[bytes, int] = {END: 0}
     parts, lengths = [], np.empty(len(texts), np.int64)
@@ -76,12 +117,11 @@ def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     n = len(ids)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, n)
-    context = np.full(len(flat), hashes[0], np.uint64)
-    context[1:] = hashes[flat[:-1]]
     order = np.argsort(hashes)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    return hashes[order], rank[flat], context, lengths
+    place = rank[flat]
+    return hashes[order], place, np.append(rank[0], place[:-1]), lengths
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -94,7 +134,7 @@ def cells_of(hashes: np.ndarray, place: np.ndarray, context: np.ndarray, buckets
     order = np.argsort(bucket_of(hashes, buckets), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    keys, cell = np.unique(rank[place] * len(hashes) + np.searchsorted(hashes, context), return_inverse=True)
+    keys, cell = np.unique(rank[place] * len(hashes) + context, return_inverse=True)
     return order, keys, cell
 
 
@@ -104,7 +144,7 @@ def send(block: int, texts: list[str | None], learn: np.ndarray, buckets: int) -
     order, keys, cell = cells_of(hashes, place, context, buckets)
     counts = np.bincount(cell, np.repeat(learn, lengths).astype(float), len(keys)).astype(np.uint32)
     token, before = np.divmod(keys, len(hashes))
-    before = hashes[before]
+    before = short(hashes[before])
     per_token = np.bincount(token, minlength=len(hashes)).astype(np.uint32)
     names = hashes[order]
     bucket = bucket_of(names, buckets)
@@ -112,7 +152,7 @@ def send(block: int, texts: list[str | None], learn: np.ndarray, buckets: int) -
     edges = np.append(first, len(names))
     cell_edge = np.searchsorted(token, edges)
     rows = [
-        (int(b), block, names[edges[i] : edges[i + 1]].tobytes(), per_token[edges[i] : edges[i + 1]].tobytes(), before[x:y].tobytes(), counts[x:y].tobytes())
+        (int(b), block, names[edges[i] : edges[i + 1]].tobytes(), per_token[edges[i] : edges[i + 1]].tobytes(), packed(before[x:y]), small(counts[x:y]))
         for i, (b, x, y) in enumerate(zip(present, cell_edge[:-1], cell_edge[1:], strict=True))
     ]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
@@ -126,60 +166,60 @@ class Bucket:
         self.blocks = rows["block"].tolist()
         names = [np.frombuffer(x, np.uint64) for x in rows["words"]]
         per = [np.frombuffer(x, np.uint32) for x in rows["cells"]]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]).astype(float)
+        counts = np.concatenate([from_small(x, int(k.sum())) for x, k in zip(rows["counts"], per, strict=True)])
         self.sizes = [len(x) for x in names]
         self.cell_sizes = [int(x.sum()) for x in per]
-        self.contexts, context = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["contexts"]]), return_inverse=True)
-        words, self.asked = np.unique(np.concatenate(names), return_inverse=True)
+        self.contexts, context = np.unique(unpacked(rows["contexts"].tolist()), return_inverse=True)
+        self.words, self.asked = np.unique(np.concatenate(names), return_inverse=True)
         dish = np.repeat(self.asked, np.concatenate(per))
+        self.asked = self.asked.astype(np.int32)
         keys, self.asked_cells = np.unique(dish * len(self.contexts) + context, return_inverse=True)
-        self.words = words
-        self.dish, self.context = np.divmod(keys, len(self.contexts))
+        del dish, context
+        self.asked_cells = self.asked_cells.astype(np.int32)
+        self.dish, self.context = (x.astype(np.int32) for x in np.divmod(keys, len(self.contexts)))
         self.c = np.bincount(self.asked_cells, counts, len(keys)).astype(np.int64)
-        self.total = np.bincount(self.dish, self.c, len(words)).astype(np.int64)
+        self.total = np.bincount(self.dish, self.c, len(self.words)).astype(np.int64)
         # Until told of other buckets, these cells are all there are.
-        self.customers, self.cells = self.by_context(self.c), self.by_context(self.c > 0)
-        self.all_cells = max(1.0, self.cells.sum())
+        self.own_customers, self.own_cells = self.by_context(self.c), self.by_context(self.c > 0)
+        self.customers, self.cells, self.sums = self.own_customers, self.own_cells, self.own_sums()
 
     def by_context(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, x, len(self.contexts))
 
-    def learn(self, known: dict[str, np.ndarray]) -> None:
-        """Takes customers and cells of its contexts, and all cells, from all buckets."""
-        self.customers, self.cells = totals_of(known, self.contexts).T
-        self.all_cells = max(1.0, totals_of(known, [WHOLE])[0, 1])
-
-    def counts(self) -> dict[int, float]:
-        """Sums that all buckets need: training tokens, distinct ones, cells with one and
-        two customers, dishes with one and two contexts."""
+    def own_sums(self) -> np.ndarray:
+        """Pairs of sums that all buckets need, in the order of their names."""
         live = self.c > 0
         per = np.bincount(self.dish[live], minlength=len(self.words))
-        last = [self.c.sum(), (self.total > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (per == 1).sum(), (per == 2).sum()]
-        return {2 * CLASSES + k: float(x) for k, x in enumerate(last)}
-
-
-def tables(c: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of cells with c customers, drawn by seating them in order; pull is the
-    weight (theta + d * tables of the restaurant) * probability in the parent.  A batch is
-    an eighth of those seated, so each cell takes a number of steps logarithmic in c."""
-    n, t = np.minimum(c, 1).astype(float), np.minimum(c, 1).astype(float)
-    left = np.flatnonzero(c > 1)
-    while len(left):
-        a, b = n[left], t[left]
-        m = np.minimum(np.maximum(1, a // 8), c[left] - a)
-        p = pull[left] / (a - d * b + pull[left])
-        t[left] = b + rng.binomial(m.astype(np.int64), np.clip(p, 0, 1))
-        n[left] = a + m
-        left = left[n[left] < c[left]]
-    return t
+        pairs = [(self.c.sum(), (self.total > 0).sum()), ((self.c == 1).sum(), (self.c == 2).sum()), ((per == 1).sum(), (per == 2).sum()), (live.sum(), 0)]
+        return np.array(pairs, float)
+
+    def offered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names and own sums for the other buckets to add theirs to."""
+        return np.append(self.contexts, np.arange(4, dtype=np.uint64)), np.vstack([np.stack([self.own_customers, self.own_cells], 1), self.sums])
+
+    def learn(self, sums: np.ndarray) -> None:
+        """Takes the sums over all buckets of what it offered."""
+        self.customers, self.cells, self.sums = sums[:-4, 0], sums[:-4, 1], sums[-4:]
+
+    def shared(self) -> np.ndarray:
+        """Which of its contexts have customers elsewhere too."""
+        return np.flatnonzero(self.customers > self.own_customers)
+
+    def discounts(self) -> tuple[float, float]:
+        """Of contexts and of the parent: n1 / (n1 + 2 n2) within [0.05, 0.95]."""
+        return tuple(float(np.clip(x / (x + 2 * y), 0.05, 0.95)) if x + y else 0.5 for x, y in self.sums[[CELLS, DISHES]])
+
+    @property
+    def types(self) -> float:
+        return max(1.0, self.sums[TOKENS, 1])
 
 
 def stirling(d: float) -> np.ndarray:
     """Logarithms of generalised Stirling numbers: at [c, t], of all seatings of c
-    customers at t tables, up to SMALL of them."""
-    out = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    customers at t tables, up to EXACT of them."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
     out[0, 0] = 0.0
-    for c in range(SMALL):
+    for c in range(EXACT):
         t = np.arange(c + 1)
         out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - d * t[1:])
         out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
@@ -188,109 +228,57 @@ def stirling(d: float) -> np.ndarray:
 
 def drawn(c: np.ndarray, pull: np.ndarray, d: float, numbers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of cells, from their distribution given c customers, in proportion to
-    stirling[c, t] * pull ** t; for many customers t - 1 is Poisson of mean pull / d."""
+    stirling[c, t] * pull ** t.  For many customers t - 1 is Poisson: its mean is pull times
+    the quotient of the first two Stirling numbers, which tends to 1 / d."""
     t = np.minimum(c, 1).astype(float)
-    for n in np.unique(c[(c > 1) & (c <= SMALL)]).astype(int):
-        own = np.flatnonzero(c == n)
-        for at in np.array_split(own, 1 + len(own) * n // 4_000_000):
-            k = np.arange(1, n + 1)
-            logs = numbers[n, 1 : n + 1] + np.log(pull[at])[:, None] * k
-            t[at] = 1 + (logs + rng.gumbel(size=logs.shape)).argmax(1)
-    large = np.flatnonzero(c > SMALL)
-    t[large] = np.minimum(1 + rng.poisson(pull[large] / d), c[large])
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    some = some[np.argsort(c[some], kind="stable")]
+    starts = np.flatnonzero(np.diff(c[some], prepend=0))
+    for own in np.split(some, starts[1:]) if len(some) else []:
+        n = int(c[own[0]])
+        # Beyond these numbers of tables nothing is left of a Poisson of the largest mean.
+        mean = pull[own].max() / d
+        most = min(n, 32 + int(1.5 * mean + 12 * math.sqrt(mean)))
+        k = np.arange(1, most + 1)
+        for at in np.array_split(own, 1 + len(own) * most // 1_000_000):
+            logs = numbers[n, 1 : most + 1] + np.log(pull[at])[:, None] * k
+            weight = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+            t[at] = 1 + (weight < (rng.random(len(at)) * weight[:, -1])[:, None]).sum(1)
+    large = np.flatnonzero(c > EXACT)
+    pole = 1 - 2 * d
+    slower = c[large].astype(float) ** -d * (math.gamma(1 - d) / math.gamma(pole) if pole else 0.0)
+    t[large] = np.minimum(1 + rng.poisson(pull[large] / d * (1 - slower)), c[large])
     return t
 
 
-class Seating:
-    """Explicit seating of small cells, for moves of single customers."""
-
-    def __init__(self, c: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Generator):
-        self.c, self.d, self.rng = c, d, rng
-        self.start = np.cumsum(c) - c
-        self.table = np.zeros(int(c.sum()), np.int64)
-        self.size = np.zeros(int(c.sum()), np.int64)
-        self.t = np.zeros(len(c))
-        for i in range(int(c.max()) if len(c) else 0):
-            at = np.flatnonzero(c > i)
-            self._sit(at, self.start[at] + i, np.full(len(at), i), pull)
-
-    def _sit(self, at: np.ndarray, who: np.ndarray, seated: np.ndarray, pull: np.ndarray) -> None:
-        """Seats one customer `who` of each cell in `at`, `seated` others being there;
-        when moving, the others are all but who."""
-        moving = len(seated) and (seated == self.c[at] - 1) & (self.table[who] < 0)
-        p = pull[at] / (seated - self.d * self.t[at] + pull[at])
-        fresh = (self.rng.random(len(at)) < p) | (seated == 0)
-        new = np.flatnonzero(fresh)
-        slot = np.full(len(new), -1)
-        left = np.arange(len(new))
-        while len(left):
-            # A cell has as many table numbers as customers, so one is free.
-            x = at[new[left]]
-            tried = self.start[x] + (self.rng.random(len(left)) * self.c[x]).astype(np.int64)
-            free = self.size[tried] == 0
-            slot[left[free]] = tried[free]
-            left = left[~free]
-        self.table[who[new]] = slot
-        self.size[slot] += 1
-        self.t[at[new]] += 1
-        left = np.flatnonzero(~fresh)
-        while len(left):
-            x = at[left]
-            room = np.where(np.broadcast_to(moving, at.shape)[left], self.c[x], seated[left])
-            other = self.start[x] + (self.rng.random(len(left)) * room).astype(np.int64)
-            their = self.table[other]
-            size = self.size[np.maximum(their, 0)]
-            ok = (other != who[left]) & (their >= 0) & (self.rng.random(len(left)) * size < size - self.d)
-            self.table[who[left[ok]]] = their[ok]
-            self.size[their[ok]] += 1
-            left = left[~ok]
-
-    def move(self, pull: np.ndarray) -> None:
-        """One random customer of each cell of two or more leaves and sits down again."""
-        at = np.flatnonzero(self.c > 1)
-        who = self.start[at] + (self.rng.random(len(at)) * self.c[at]).astype(np.int64)
-        old = self.table[who]
-        self.size[old] -= 1
-        self.t[at] -= self.size[old] == 0
-        self.table[who] = -1
-        self._sit(at, who, self.c[at] - 1, pull)
-
-
-def sample(b: Bucket, g: np.ndarray, seed: int):
+def sample(b: Bucket, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(tables of cells, tables of dishes in the parent) of each kept sweep.
 
-    Tables of contexts and of the parent beyond this bucket are estimated while sampling,
-    from other buckets' cells and dishes and this one's tables for each of them."""
+    Other buckets sample at the same time, as in approximate distributed Gibbs.  Of a
+    context's tables there, the first of each cell is known; the others, and the parent's
+    tables of other buckets, are estimated by this bucket's for each further customer and
+    each dish."""
     rng = np.random.default_rng(seed)
-    d1, d0, _, _ = discounts(g)
-    types = max(1.0, g[2 * CLASSES + 1])
+    d1, d0 = b.discounts()
     live = np.flatnonzero(b.c > 0)
     c, k, dish = b.c[live], b.context[live], b.dish[live]
-    n = len(b.contexts)
-    elsewhere, own_types = b.cells - np.bincount(k, minlength=n), max(1, len(np.unique(dish)))
-    parent = b.total / max(1.0, g[2 * CLASSES])
-    all_tables, parent_tables = b.cells.astype(float), types
-    small = np.flatnonzero(c <= SMALL)
-    large = np.flatnonzero(c > SMALL)
-    t = np.minimum(c, 1).astype(float)
-    seating = None
+    n, own_types = len(b.contexts), max(1, len(np.unique(dish)))
+    further = (b.customers - b.cells) - (b.own_customers - b.own_cells)
+    own_further = max(1.0, (b.own_customers - b.own_cells).sum())
+    all_further = max(0.0, b.sums[TOKENS, 0] - b.sums[ALL, 0])
+    parent = b.total / max(1.0, b.sums[TOKENS, 0])
+    all_tables, parent_tables = b.cells.astype(float), b.types
     numbers, numbers0 = stirling(d1), stirling(d0)
     out = []
     for sweep in range(BURN + SAMPLES):
-        pull = (THETA + d1 * all_tables[k]) * parent[dish]
-        if seating is None:
-            seating = Seating(c[small], pull[small], d1, rng)
-        for _ in range(MOVES):
-            seating.move(pull[small])
-        t[small] = seating.t
-        t[large] = drawn(c[large], pull[large], d1, numbers, rng)
+        t = drawn(c, (THETA + d1 * all_tables[k]) * parent[dish], d1, numbers, rng)
         up = np.bincount(dish, t, len(b.words))
-        rate = t.sum() / max(1, len(t))
-        all_tables = np.bincount(k, t, n) + elsewhere * rate
-        t0 = drawn(up, (THETA + d0 * parent_tables) * (1 - NEW) / types * np.ones(len(up)), d0, numbers0, rng)
-        parent_tables = t0.sum() / own_types * types
-        customers = max(1.0, rate * b.all_cells)
-        parent = (up - d0 * t0 + (THETA + d0 * parent_tables) * (1 - NEW) / types) / (THETA + customers)
+        rate = (t - 1).sum() / own_further
+        all_tables = b.cells + np.bincount(k, t - 1, n) + further * rate
+        base = (1 - NEW) / b.types
+        t0 = drawn(up.astype(np.int64), (THETA + d0 * parent_tables) * base * np.ones(len(up)), d0, numbers0, rng)
+        parent_tables = t0.sum() / own_types * b.types
+        parent = (up - d0 * t0 + (THETA + d0 * parent_tables) * base) / (THETA + max(1.0, b.sums[ALL, 0] + rate * all_further))
         if sweep >= BURN:
             whole = np.zeros(len(b.c))
             whole[live] = t
@@ -298,178 +286,135 @@ def sample(b: Bucket, g: np.ndarray, seed: int):
     return out
 
 
-def discounts(g: np.ndarray) -> tuple[float, float, float, float]:
-    """(of contexts, of the parent), n1 / (n1 + 2 n2) within [0.05, 0.95]; N and V."""
-    n, v, a1, a2, b1, b2 = g[2 * CLASSES :]
-    ratio = [float(np.clip(x / (x + 2 * y), 0.05, 0.95)) if x + y else 0.5 for x, y in ((a1, a2), (b1, b2))]
-    return ratio[0], ratio[1], float(n), float(v)
+def tables_offered(b: Bucket, kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Names and sums, for each kept sweep, of tables beyond one a cell in the contexts
+    that other buckets have too, and of the parent's tables and customers."""
+    at = b.shared()
+    sums = np.stack([np.concatenate([(b.by_context(t) - b.own_cells)[at], [t0.sum(), t.sum()]]) for t, t0 in kept], 1)
+    return np.append(b.contexts[at], np.array([PARENT, PARENT + 1], np.uint64)), sums
 
 
-def answer(b: Bucket, g: np.ndarray, totals: np.ndarray, seed: int, bucket: int, customers: np.ndarray | None = None) -> pd.DataFrame:
+def answer(b: Bucket, kept: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray, bucket: int) -> pd.DataFrame:
     """ANSWER rows: for each block, training counts of its tokens and log10 averaged
-    predictive probabilities of its cells, in the order it asked.  `totals` has the tables
-    of the bucket's contexts and of the parent, and `customers` the parent's customers
-    (those contexts' tables if they are all there are), of each kept sweep."""
-    d1, d0, _, v = discounts(g)
-    totals = totals.reshape(SAMPLES, -1)
-    if customers is None:
-        customers = totals[:, :-1].sum(1)
-    p = np.zeros(len(b.c))
-    for (t, t0), total, all_customers in zip(sample(b, g, seed), totals, customers, strict=True):
+    predictive probabilities of its cells, in the order it asked.  `sums` is what all
+    buckets together have of tables_offered."""
+    d1, d0 = b.discounts()
+    at, p = b.shared(), np.zeros(len(b.c))
+    base = np.where(b.total > 0, (1 - NEW) / b.types, NEW)
+    for (t, t0), total in zip(kept, sums.T, strict=True):
+        restaurant = b.by_context(t)
+        restaurant[at] = b.cells[at] + total[:-2]
         up = np.bincount(b.dish, t, len(b.words))
-        fresh = THETA + d0 * total[-1]
-        base = np.where(b.total > 0, (1 - NEW) / max(1.0, v), NEW)
-        parent = (up - d0 * t0 + fresh * base) / (THETA + all_customers)
-        p += (b.c - d1 * t + (THETA + d1 * total[b.context]) * parent[b.dish]) / (THETA + b.customers[b.context]) / SAMPLES
-    logs = np.log10(p).astype(np.float32)[b.asked_cells]
-    seen = b.total[b.asked]
+        parent = (up - d0 * t0 + (THETA + d0 * total[-2]) * base) / (THETA + total[-1])
+        p += (b.c - d1 * t + (THETA + d1 * restaurant[b.context]) * parent[b.dish]) / (THETA + b.customers[b.context]) / SAMPLES
+    logs, seen = rounded(np.log10(p))[b.asked_cells], b.total[b.asked]
     rows, i, j = [], 0, 0
     for block, n, m in zip(b.blocks, b.sizes, b.cell_sizes, strict=True):
-        rows.append((block, bucket, seen[i : i + n].tobytes(), logs[j : j + m].tobytes()))
+        rows.append((block, bucket, packed(seen[i : i + n]), packed(logs[j : j + m], 3), *b.sums[TOKENS]))
         i, j = i + n, j + m
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
-def by_bucket(sent: DataFrame, of, schema: str) -> DataFrame:
-    """Rows that of(Bucket, number) makes of each bucket.  `sent` has all rows of a bucket
-    together and next to each other, so no exchange is needed."""
+def told_logs(data: list[bytes]) -> np.ndarray:
+    return unpacked(data, 3) * -STEP
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            for number, rows in batch.groupby("bucket", sort=True):
-                if held and held[0]["bucket"].iloc[0] != number:
-                    yield of(Bucket(pd.concat(held)), int(held[0]["bucket"].iloc[0]))
-                    held = []
-                held.append(rows)
-        if held:
-            yield of(Bucket(pd.concat(held)), int(held[0]["bucket"].iloc[0]))
 
-    return sent.mapInPandas(run, schema)
+def sliced(names: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of names by the slice that adds them up, the slices there are, and where
+    each begins in that order."""
+    at = bucket_of(names, slices)
+    order = np.argsort(at, kind="stable")
+    present, first = np.unique(at[order], return_index=True)
+    return order, present, first
 
 
-def gathered(sent: DataFrame, of, keys: int) -> np.ndarray:
-    """Sums over buckets of what `of` gives: a fixed number of keys, combined in Spark."""
+def offer(bucket: int, names: np.ndarray, sums: np.ndarray, slices: int) -> pd.DataFrame:
+    """OFFERED rows of a bucket's sums, one row of them a name."""
+    order, present, first = sliced(names, slices)
+    rows = [(int(k), bucket, packed(names[own]), packed(sums[own])) for k, own in zip(present, np.split(order, first[1:]), strict=True)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in OFFERED.split(", ")])
 
-    def run(b: Bucket, number: int) -> pd.DataFrame:
-        found = of(b, number)
-        return pd.DataFrame({"k": list(found), "x": [float(x) for x in found.values()]})
 
-    out = np.zeros(keys)
-    for k, x in by_bucket(sent, run, "k int, x double").groupBy("k").agg(F.sum("x")).collect():
-        out[k] = x
+def taken(names: np.ndarray, totals: pd.DataFrame, slices: int, columns: int) -> np.ndarray:
+    """The sums over all buckets of the names a bucket offered, from its TOTALS rows."""
+    order, _, _ = sliced(names, slices)
+    out = np.empty((len(names), columns))
+    totals = totals.sort_values("slice")
+    out[order] = unpacked(totals["sums"].tolist()).reshape(-1, columns)
     return out
 
 
-def placed(frame: DataFrame) -> DataFrame:
-    """The frame cut so that Spark still knows how it is partitioned, and joins to it
-    exchange the other side only; with adaptive plans a checkpoint forgets that."""
-    conf = frame.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(frame.select("*"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
-def totals_of(known: dict[str, np.ndarray], names) -> np.ndarray:
-    """Rows of sums of the names, all of which are known."""
-    return known["sums"][np.searchsorted(known["names"], np.asarray(names, np.uint64))]
-
-
-def arrived(rows: pd.DataFrame, columns: int) -> dict[str, np.ndarray]:
-    names = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["names"]])
-    sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]]).reshape(-1, columns)
-    order = np.argsort(names)
-    return {"names": names[order], "sums": sums[order]}
-
-
-def offer(number: int, names: np.ndarray, sums: np.ndarray, slices: int) -> pd.DataFrame:
-    """OFFERED rows of a bucket's sums (one row a name), by hash of the name."""
-    at = bucket_of(names, slices)
-    order = np.argsort(at, kind="stable")
-    present, first = np.unique(at[order], return_index=True)
-    rows = [(int(k), number, names[own].tobytes(), sums[own].tobytes()) for k, own in zip(present, np.split(order, first[1:]), strict=True)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in OFFERED.split(", ")])
-
-
 def whole(offered: DataFrame, columns: int) -> DataFrame:
     """TOTALS rows: for each bucket, the sums over all buckets of the names it offered."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        names = [np.frombuffer(x, np.uint64) for x in rows["names"]]
-        sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]]).reshape(-1, columns)
-        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        lengths = [len(x) // 5 for x in rows["names"]]
+        sums = unpacked(rows["sums"].tolist()).reshape(-1, columns)
+        _, at = np.unique(unpacked(rows["names"].tolist()), return_inverse=True)
         total = np.stack([np.bincount(at, sums[:, k]) for k in range(columns)], 1)[at]
-        parts = np.split(total, np.cumsum([len(x) for x in names])[:-1])
-        return pd.DataFrame({"bucket": rows["bucket"].tolist(), "names": [x.tobytes() for x in names], "sums": [x.tobytes() for x in parts]})
+        parts = np.split(total, np.cumsum(lengths)[:-1])
+        return pd.DataFrame({"bucket": rows["bucket"].tolist(), "slice": rows["slice"].tolist(), "sums": [packed(x) for x in parts]})
 
     return offered.groupBy("slice").applyInPandas(run, TOTALS)
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
-    """SCORED rows of (doc_id, text, learn), and the number of training tokens."""
+def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+    """SCORED rows of (doc_id, text, learn); train_tokens is the number of training tokens."""
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    blocked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "learn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    # A bucket has room for two blocks' cells: the fewer buckets, the fewer sums of contexts
+    # that lie in several.  More partitions than groups, so that few groups share one.
+    buckets, parts = -(-n // 2), 4 * n
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
+    blocked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "learn", block).repartition(parts, "block")
 
     def asks(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        return send(int(rows["block"].iloc[0]), rows["text"].tolist(), rows["learn"].to_numpy(bool), n)
+        return send(int(rows["block"].iloc[0]), rows["text"].tolist(), rows["learn"].to_numpy(bool), buckets)
 
-    sent = placed(blocked.groupBy("block").applyInPandas(asks, SENT).repartition(n, "bucket").sortWithinPartitions("bucket", "block"))
-    g = gathered(sent, lambda b, _: b.counts(), 2 * CLASSES + 6)
+    sent = blocked.groupBy("block").applyInPandas(asks, SENT).repartition(4 * buckets, "bucket")
 
-    def own_sums(b: Bucket, bucket: int) -> pd.DataFrame:
-        sums = np.stack([b.customers, b.cells], 1)
-        return offer(bucket, np.append(b.contexts, WHOLE), np.vstack([sums, sums.sum(0)]), n)
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        return offer(int(rows["bucket"].iloc[0]), *Bucket(rows).offered(), buckets)
 
-    known = cut(whole(by_bucket(sent, own_sums, OFFERED), 2))
+    known = whole(sent.groupBy("bucket").applyInPandas(own, OFFERED), 2)
 
     def informed(rows: pd.DataFrame, known: pd.DataFrame) -> tuple[Bucket, int]:
         b = Bucket(rows)
-        b.learn(arrived(known, 2))
+        b.learn(taken(b.offered()[0], known, buckets, 2))
         return b, int(rows["bucket"].iloc[0])
 
-    def table_totals(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def seated(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         b, bucket = informed(rows, known)
-        kept = sample(b, g, bucket)
-        sums = np.stack([np.concatenate([b.by_context(t), [t0.sum(), t.sum()]]) for t, t0 in kept], 1)
-        return offer(bucket, np.append(b.contexts, [PARENT, WHOLE]), sums, n)
+        return offer(bucket, *tables_offered(b, sample(b, bucket)), buckets)
 
-    def with_known(of, schema: str, more: DataFrame | None = None) -> DataFrame:
-        told = known.withColumn("tables", F.lit(False))
-        if more is not None:
-            told = told.unionByName(more.withColumn("tables", F.lit(True)))
-        return sent.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(of, schema)
-
-    tables_of = whole(with_known(table_totals, OFFERED), SAMPLES)
-    _, _, big_n, v = discounts(g)
+    sums = whole(sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(seated, OFFERED), SAMPLES)
+    told = known.withColumn("tables", F.lit(False)).unionByName(sums.withColumn("tables", F.lit(True)))
 
     def replies(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         b, bucket = informed(rows, told[~told["tables"]])
-        sums = arrived(told[told["tables"]], SAMPLES)
-        totals = totals_of(sums, np.append(b.contexts, PARENT)).T
-        return answer(b, g, totals, bucket, bucket, totals_of(sums, [WHOLE])[0])
+        kept = sample(b, bucket)
+        return answer(b, kept, taken(tables_offered(b, kept)[0], told[told["tables"]], buckets, SAMPLES), bucket)
+
+    answers = sent.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(replies, ANSWER)
 
     def adds(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         hashes, place, context, lengths = layout(rows["text"].tolist())
-        order, _, cell = cells_of(hashes, place, context, n)
+        order, _, cell = cells_of(hashes, place, context, buckets)
         back = back.sort_values("bucket")
+        big_n, v = back["n"].iloc[0], back["v"].iloc[0]
         seen = np.empty(len(hashes), np.int64)
-        seen[order] = np.concatenate([np.frombuffer(x, np.int64) for x in back["seen"]])
-        logs = np.concatenate([np.frombuffer(x, np.float32) for x in back["logs"]]).astype(float)
+        seen[order] = unpacked(back["seen"].tolist())
+        logs = told_logs(back["logs"].tolist())
         base = np.log10((seen + 0.1) / (big_n + 0.1 * (v + 1)))
         first = np.cumsum(lengths) - lengths
         doc_id = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
         out = pd.DataFrame({"doc_id": pd.array(doc_id, "Int64"), "learn": rows["learn"].to_numpy(bool), "n_tokens": lengths})
         out["n_known"] = np.add.reduceat((seen > 0)[place].astype(np.int64), first)
+        out["train_tokens"] = int(big_n)
         out["base_score"] = np.add.reduceat(base[place], first)
         out["score"] = np.add.reduceat(logs[cell], first)
         return out
 
-    answers = with_known(replies, ANSWER, tables_of)
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(adds, SCORED), int(big_n)
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(adds, SCORED)
