@@ -2,32 +2,40 @@
 estimates how often each rule is right, and a document stays when its posterior
 probability of being good reaches a threshold.
 
-One pass counts vote patterns (at most 3^rules rows, whatever the corpus), the driver runs
-EM on these counts, and a second pass applies the posterior of each pattern.  Nothing is
-sampled.  Defined results: null and empty texts have zero counts and fail the base rule
-(fewer than 50 words); repeated rows are judged alike, each on its own; an empty table
-gives an empty table; columns of the input whose names clash are kept under their own
-names, as the added columns live in one struct until selected.
+Rules are strict, so many good documents get a bad vote somewhere; how much a vote weighs
+follows from how the rule votes where the others agree, not from a setting.  Rules of one
+GROUP look at the same fault and so fail together, and faults differ: the latent class is
+good, or bad by one of the groups.  Within a class votes are independent; across the bad
+classes they are not, which is how correlated rules are modelled.
+
+A pass counts vote patterns (at most 3^rules rows, whatever the corpus), the driver runs
+EM on these counts, and the posterior of each pattern is applied.  Nothing is sampled.
+Defined results: null and empty texts have zero counts and fail the base rule (fewer than
+50 words); rules without enough to go by (a single line, fewer than MANY words) abstain;
+repeated rows are judged alike, each on its own; an empty table gives an empty table;
+columns of the input keep their names, and a clash with the one that is added raises an
+error (`kept_by` picks a free name itself).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import encode
+from lodestone.llm.text import cut, encode
 
 SYMBOL_BYTES = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RULES = ("symbols", "dup_lines", "repeats", "shouting", "exclaims", "word_length", "alphabetic", "spread")
+GROUPS = (("symbols", "alphabetic"), ("dup_lines", "repeats", "spread"), ("shouting", "exclaims"), ("word_length",))
 #: Prior chances of a good vote, an abstention and a bad vote: of any rule for a good
-#: document, of a bad class's leading rule, and of the other rules for a bad document.
-GOOD, LEADING, OTHER = (0.92, 0.078, 0.002), (0.05, 0.1, 0.85), (0.7, 0.15, 0.15)
+#: document, of a bad class's own group of rules, and of the other rules for a bad
+#: document.  They count as much as PRIOR_SHARE of the corpus.
+GOOD, OWN, OTHER = (0.85, 0.1, 0.05), (0.1, 0.2, 0.7), (0.7, 0.15, 0.15)
 PRIOR_SHARE = 0.02
-RULES = ("symbols", "dup_lines", "repeats", "shouting", "exclaims", "word_length", "alphabetic", "spread")
+MANY = 20
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, votes string"
 SPACES = b" \t\n\r\x0b\x0c"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -77,15 +85,16 @@ def judge(text: str | None) -> tuple:
     plain = np.fromiter((w.strip(b".,;:!?'\"()-").isalpha() or not w.isascii() for w in ids), bool, len(ids))
     alphabetic = int(np.bincount(numbers, minlength=len(ids))[plain].sum())
     mean = chars / n
+    many = n >= MANY
     votes = "".join((
-        vote(symbols <= 0.02 * chars, symbols > 0.06 * chars),
-        vote(lines > 1 and not dup, dup > 2 and 10 * dup > 3 * lines),
-        vote(again <= 0.1 * n, again > 0.45 * n),
-        vote(upper <= 0.1 * len(ids), upper > 0.4 * len(ids)),
-        vote(exclaims <= 0.01 * n, exclaims > 0.2 * n),
-        vote(3 <= mean <= 8.5, mean < 2.2 or mean > 12),
-        vote(alphabetic > 0.9 * n, alphabetic < 0.7 * n),
-        vote(len(ids) > 0.25 * n, len(ids) < 0.08 * n),
+        vote(symbols <= 0.01 * chars, symbols > 0.03 * chars),
+        vote(lines > 1 and not dup, dup > 0),
+        vote(many and again <= 0.1 * n, again > 0.35 * n),
+        vote(upper <= 0.1 * len(ids), many and upper > 0.25 * len(ids)),
+        vote(exclaims <= 0.005 * n, many and exclaims > 0.02 * n),
+        vote(many and 3.5 <= mean <= 7.5, many and (mean < 3 or mean > 9)),
+        vote(alphabetic > 0.9 * n, alphabetic < 0.8 * n),
+        vote(many and len(ids) > 0.35 * n, many and len(ids) < 0.25 * n),
     ))
     return n, chars, symbols, dup, again, n < 50 or 100 * again > 50 * n, votes
 
@@ -99,44 +108,73 @@ def evidence(text: Column) -> Column:
     return F.pandas_udf(run, SCHEMA)(text)
 
 
-def fit(patterns: dict[str, int], rounds: int = 200) -> dict[str, float]:
+def fit(patterns: dict[str, int], rounds: int = 300) -> dict[str, float]:
     """Posterior probability of being good for each vote pattern.
 
-    Documents are bad in different ways, and rules that fail together for one way say
-    nothing of another.  So the latent variable has a good class and one bad class for
-    each rule, led by that rule.  In each class every rule has its own chances of voting
-    good, bad or abstaining (its accuracy on that class), which EM estimates from the
-    counts and a prior worth PRIOR_SHARE of the corpus; the quality probability is that of
-    the good class."""
+    In each class every rule has its own chances of voting good, abstaining or voting bad
+    (its accuracy on that class), which EM estimates from the counts and the prior, as it
+    does the shares of the classes."""
     if not patterns:
         return {}
     names = sorted(patterns)
     cast = np.array([[["+0-".index(c) == k for k in range(3)] for c in p] for p in names], float)  # pattern, rule, outcome
     n = np.array([patterns[p] for p in names], float)
-    m = cast.shape[1]
-    belief = np.empty((m + 1, m, 3))
+    belief = np.empty((1 + len(GROUPS), len(RULES), 3))
     belief[0], belief[1:] = GOOD, OTHER
-    belief[1 + np.arange(m), np.arange(m)] = LEADING
-    no = cast[:, :, 2]
-    share = 0.9 * no / np.maximum(no.sum(1, keepdims=True), 1)
-    post = np.column_stack([np.where(no.any(1), 0.1, 0.95), np.where(no.any(1)[:, None], share, 0.05 / m)])
+    for k, group in enumerate(GROUPS):
+        belief[1 + k, [RULES.index(r) for r in group]] = OWN
+    chances, classes = belief, len(belief)
+    prior = np.append(0.8, np.full(classes - 1, 0.2 / (classes - 1)))
     for _ in range(rounds):
-        seen = np.einsum("pc,pro->cro", n[:, None] * post, cast) + PRIOR_SHARE * n.sum() * belief
-        chances = seen / seen.sum(2, keepdims=True)
-        prior = (n @ post + 1e-3 * n.sum()) / (n.sum() * (1 + 1e-3 * (m + 1)))
         logs = np.log(prior) + np.einsum("pro,cro->pc", cast, np.log(chances))
         post = np.exp(logs - logs.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
+        seen = np.einsum("pc,pro->cro", n[:, None] * post, cast) + PRIOR_SHARE * n.sum() * belief
+        chances = seen / seen.sum(2, keepdims=True)
+        prior = (n @ post + 1e-3 * n.sum()) / (n.sum() * (1 + 1e-3 * classes))
     return {p: float(x) for p, x in zip(names, post[:, 0], strict=True)}
 
 
-def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with one more column `_quality`: counts, base_failed, votes, posterior, kept."""
-    added = docs.withColumn("_quality", evidence(F.col(text)))
-    patterns = docs.select(evidence(F.col(text)).alias("q")).groupBy("q.votes").count()
-    posterior = fit({r[0]: r[1] for r in patterns.collect()})
-    # The patterns are at most 3^rules entries, so a literal map has a proven bound.
-    known = F.create_map(*[F.lit(x) for p in posterior.items() for x in p]) if posterior else F.create_map(F.lit(""), F.lit(0.0))
-    q = F.col("_quality")
-    p = F.round(known[q["votes"]], 6)
-    return added.withColumn("_quality", q.withField("posterior", p).withField("kept", ~q["base_failed"] & (p >= threshold)))
+def free(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it a new one."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def posteriors(judged: DataFrame, column: str) -> dict[str, float]:
+    patterns = judged.groupBy(F.col(column)["votes"]).count()
+    return fit({r[0]: r[1] for r in patterns.collect()})
+
+
+def decided(judged: DataFrame, column: str, posterior: dict[str, float], threshold: float) -> DataFrame:
+    """judged with posterior and kept in the struct `column`."""
+    names = [free(judged, n) for n in ("votes", "posterior")]
+    # At most 3^rules rows, so the broadcast has a proven bound.
+    known = judged.sparkSession.createDataFrame([(v, round(p, 6)) for v, p in posterior.items()], f"`{names[0]}` string, `{names[1]}` double")
+    q, p = F.col(column), F.col(names[1])
+    joined = judged.join(F.broadcast(known), q["votes"] == F.col(names[0]), "left")
+    return joined.withColumn(column, q.withField("posterior", p).withField("kept", ~q["base_failed"] & (p >= threshold))).select(judged.columns)
+
+
+def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5, into: str = "_quality") -> DataFrame:
+    """docs with one more column: counts, base_failed, votes, posterior, kept.  Texts are
+    read twice, for the patterns and for the answer, rather than written in between."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into} already")
+    judged = docs.withColumn(into, evidence(F.col(text)))
+    counted = docs.select(evidence(F.col(text)).alias(into))
+    return decided(judged, into, posteriors(counted, into), threshold)
+
+
+def judged_ids(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id and the struct `_quality` of each row of (doc_id, text): what the rules find
+    is written once, without the texts."""
+    rows = cut(docs.select("doc_id", evidence(F.col("text")).alias("_quality")))
+    return decided(rows, "_quality", posteriors(rows, "_quality"), threshold)
+
+
+def kept_by(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that stay, with the columns of docs."""
+    into = free(docs, "_quality")
+    return assess(docs, threshold=threshold, into=into).filter(F.col(into)["kept"]).select(docs.columns)

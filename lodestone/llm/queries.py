@@ -57,8 +57,7 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 10) != 0).alias("learn"))
-    scored, tokens = pitman_yor.score(docs)
-    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return pitman_yor.score(docs).select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,7 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("_quality")
-    judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judged_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[q[c].alias(c) for c in (*quality.COUNTS, "base_failed", "kept", "posterior")])
 
 
