@@ -8,8 +8,8 @@ words, to tag these tokens in context.  Scoring covers every token of every text
 forward-backward marginals give offending offsets, and a logistic link turns a text's
 strongest marginals into a document score.
 
-Chains end at sentence ends and after SEGMENT words, which bounds the work of one
-forward-backward pass whatever the length of a text.
+Chains end at sentence ends.  Long ones are worked on in pieces side by side, with the same
+result, so time and memory stay in proportion to a text, whatever its length.
 
 Defined results: null, empty and blank texts get the score of a text without any toxic
 token and no spans; repeated rows are scored alike; an empty table gives an empty result;
@@ -19,6 +19,7 @@ without labels of both kinds every text gets the share of toxic labels (0.0 if n
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1000
-SEGMENT = 64
+PIECE = 64
 BUCKETS = 1 << 17
+PURITY = 5
 WIDTH = 6
+#: What the rounds of training leave out in turn: nothing, identity, identity and suffix, and
+#: these with the longest prefix.
+LEFT_OUT = ((), (0,), (0, 4), (0, 3, 4))
 TOKEN = re.compile(r"\S+")
 TRIM = ".,;:!?'\"()[]{}<>*#%$&|-_~`«»…"
 SPANS = "score double, n_spans int, spans array<struct<start:int,end:int,marginal:double>>"
@@ -45,24 +50,20 @@ def affixes(word: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
+    """WIDTH places in the weights: identity, prefixes, suffix and bias; 0 for none."""
     import xxhash
 
-    names = [*affixes(word), "$" + word[-3:], "1"]
-    rows = [1 + xxhash.xxh32_intdigest(x) % (BUCKETS - 1) for x in names]
-    return rows + [0] * (WIDTH - len(rows))
+    names = affixes(word)
+    names = [*names, *[""] * (WIDTH - 2 - len(names)), "$" + word[-3:], "1"]
+    return [1 + xxhash.xxh32_intdigest(x) % (BUCKETS - 1) if x else 0 for x in names]
 
 
 def segments(tokens: list[str]) -> np.ndarray:
-    """Where chains begin: after a sentence end, and after SEGMENT words without one."""
+    """Where chains begin: at the start and after each sentence end."""
     starts = np.zeros(len(tokens), bool)
-    run = SEGMENT
-    for i, t in enumerate(tokens):
-        if run >= SEGMENT:
-            starts[i] = True
-            run = 0
-        run += 1
-        if t[-1] in ".!?":
-            run = SEGMENT
+    if len(tokens):
+        starts[0] = True
+        starts[1:] = [t[-1] in ".!?" for t in tokens[:-1]]
     return starts
 
 
@@ -70,41 +71,81 @@ def marginals(emission: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> tu
     """P(toxic) of each token by forward-backward over chains laid end to end.
 
     emission: log-odds of toxic; trans[a, b]: score of b after a.  All chains advance
-    together, one position at a time, in probability space with rescaling.  Also gives the
-    chains' pair marginals summed, and the log-partition."""
+    together, one position at a time, in probability space with rescaling.  Chains longer
+    than PIECE are cut there, and the pieces too advance together: their two-by-two
+    transfer matrices tell what comes into each from both sides, so the result is that of
+    the whole chain.  Also gives the pair marginals summed, and the log-partition."""
     n = len(emission)
-    first = np.flatnonzero(starts)
-    length = np.diff(np.append(first, n))
+    if not n:
+        return np.zeros(0), np.zeros((2, 2)), np.float64(0.0)
+    psi, m = np.exp(np.clip(emission, -30, 30)), np.exp(trans)
+    chain = np.flatnonzero(starts)
+    sizes = np.diff(np.append(chain, n))
+    many = -(-sizes // PIECE)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)  # of a piece in its chain
+    first = np.repeat(chain, many) + PIECE * place
+    length = np.minimum(PIECE, np.repeat(chain + sizes, many) - first)
+    last = first + length - 1
+
+    def forward(pieces: np.ndarray, into: np.ndarray | None, keep: bool) -> np.ndarray:
+        """What leaves pieces, given what comes into them (None: they begin chains)."""
+        order = pieces[np.argsort(-length[pieces], kind="stable")]
+        x = np.ones((len(order), 2)) if into is None else into[np.argsort(-length[pieces], kind="stable")]
+        left = length[order]
+        total = np.zeros(len(order))
+        for k in range(int(left[0])):
+            live = int(np.searchsorted(-left, -k, side="left"))
+            at, p = first[order[:live]] + k, x[:live]
+            if k == 0 and into is None:
+                x0, x1 = np.ones(live), psi[at]
+            else:
+                x0 = p[:, 0] * m[0, 0] + p[:, 1] * m[1, 0]
+                x1 = (p[:, 0] * m[0, 1] + p[:, 1] * m[1, 1]) * psi[at]
+            s = x0 + x1
+            x[:live, 0], x[:live, 1] = x0 / s, x1 / s
+            if keep:
+                scale[at], a[at] = s, x[:live]
+            else:
+                total[:live] += np.log(s)
+        if keep:
+            return x
+        out = np.empty((len(pieces), 3))
+        out[np.argsort(-length[pieces], kind="stable")] = np.column_stack([x, total])
+        return out
+
+    a, b, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
+    pairs = np.zeros((2, 2))
+    begins, goes_on = np.flatnonzero(place == 0), np.flatnonzero(place > 0)
+    forward(begins, None, True)
+    if len(goes_on):
+        basis = [forward(goes_on, np.tile(e, (len(goes_on), 1)), False) for e in ((1.0, 0.0), (0.0, 1.0))]
+        top = np.maximum(basis[0][:, 2], basis[1][:, 2])
+        move = np.zeros((len(first), 2, 2))
+        for k in range(2):
+            move[goes_on, k] = basis[k][:, :2] * np.exp(basis[k][:, 2] - top)[:, None]
+        into = np.zeros((len(first), 2))
+        for level in range(1, int(place.max()) + 1):
+            own = np.flatnonzero(place == level)
+            before = own - 1
+            x = a[last[before]] if level == 1 else np.einsum("ni,nij->nj", into[before], move[before])
+            into[own] = x / x.sum(1, keepdims=True)
+        forward(goes_on, into[goes_on], True)
+        for level in range(int(place.max()), 0, -1):
+            own = np.flatnonzero(place == level)
+            x = np.einsum("nij,nj->ni", move[own], b[last[own]])
+            b[last[own - 1]] = x / x.sum(1, keepdims=True)
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    up = np.clip(emission, -30, 30)
-    psi = np.exp(up)
-    m = np.exp(trans)
-    a = np.empty((n, 2))
-    scale = np.empty(n)
-    depth = int(length[0]) if len(length) else 0
-    live = [int(np.searchsorted(-length, -k, side="left")) for k in range(depth)]  # chains longer than k
-    for k in range(depth):
-        at = first[: live[k]] + k
+    begin, left = first[order], length[order]
+    for k in range(int(left[0]) - 1, -1, -1):
+        at = begin[: int(np.searchsorted(-left, -k, side="left"))] + k
         if k == 0:
-            x0, x1 = np.ones(live[k]), psi[at]
-        else:
-            p = a[at - 1]
-            x0 = p[:, 0] * m[0, 0] + p[:, 1] * m[1, 0]
-            x1 = (p[:, 0] * m[0, 1] + p[:, 1] * m[1, 1]) * psi[at]
-        s = x0 + x1
-        scale[at] = s
-        a[at, 0], a[at, 1] = x0 / s, x1 / s
-    b = np.ones((n, 2))
-    pairs = np.zeros((2, 2))
-    for k in range(depth - 1, 0, -1):
-        at = first[: live[k]] + k
-        q0, q1 = b[at, 0] / scale[at], b[at, 1] * psi[at] / scale[at]
+            at = at[~starts[at]]
+        q = np.stack([b[at, 0] / scale[at], b[at, 1] * psi[at] / scale[at]], 1)
         p = a[at - 1]
-        for i in range(2):
-            pairs[i, 0] += float((p[:, i] * q0).sum()) * m[i, 0]
-            pairs[i, 1] += float((p[:, i] * q1).sum()) * m[i, 1]
-            b[at - 1, i] = m[i, 0] * q0 + m[i, 1] * q1
+        joint = p[:, :, None] * m * q[:, None, :]
+        pairs += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+        if k:
+            b[at - 1] = q @ m.T
     top = a[:, 1] * b[:, 1]
     return top / np.maximum(top + a[:, 0] * b[:, 0], 1e-300), pairs, np.log(scale).sum()
 
@@ -156,33 +197,43 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def seeds(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words and prefixes that mark toxic documents: at least three quarters of what is
-    expected at equal class sizes lies in toxic ones, beyond chance (a log-likelihood ratio
-    above the logarithm of the number of features tried).  Equal texts count once."""
-    count: dict[str, list[int]] = {}
+    """Words and prefixes that mark toxic documents: at equal class sizes PURITY times as
+    many toxic documents would have them, or have them more than once, as others, beyond
+    chance (a log-likelihood ratio above the logarithm of the number of features tried).
+    Equal texts count once."""
+    count: dict[tuple[str, bool], list[int]] = {}
     once = {tuple(tokens): (tokens, t) for tokens, t in zip(texts, toxic, strict=True)}
     for tokens, t in once.values():
-        for a in {a for w in {normal(w) for w in tokens} if len(w) >= 3 for a in affixes(w)}:
-            count.setdefault(a, [0, 0])[int(t)] += 1
+        held: dict[str, int] = {}
+        for w, n in Counter(normal(w) for w in tokens).items():
+            if len(w) >= 3:
+                for a in affixes(w):
+                    held[a] = held.get(a, 0) + n
+        for a, n in held.items():
+            count.setdefault((a, False), [0, 0])[int(t)] += 1
+            if n > 1:
+                count.setdefault((a, True), [0, 0])[int(t)] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     tests = sum(c0 + c1 >= 3 for c0, c1 in count.values())
     found = set()
-    for a, (c0, c1) in count.items():
-        if c1 < 3 or c1 / n1 < 9 * c0 / n0:
+    for (a, _), (c0, c1) in count.items():
+        if c1 < 3 or c1 / n1 < PURITY * c0 / n0:
             continue
         rate = (c0 + c1) / (n0 + n1)
         gain = c1 * np.log(c1 / n1 / rate) + (c0 * np.log(c0 / n0 / rate) if c0 else 0.0)
-        if gain > 2 + np.log(max(2, tests)):
+        if gain > np.log(max(2, tests)):
             found.add(a)
     return found
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.3) -> Model:
+def train(rows: list[tuple[str | None, int]], share: float | None = None, epochs: int = 60, rate: float = 0.3) -> Model:
     """Fits the field by adaptive gradients on chains that hold a labelled toxic token and
-    as many tokens again of others, and the document link on all sampled documents."""
+    four times as many tokens of others, and the document link on all sampled documents,
+    weighted so that `share` of them (as in the sample, if not given) are toxic."""
     texts = [TOKEN.findall(t or "") for t, _ in rows]
     toxic = np.array([bool(y) for _, y in rows], bool)
-    share = float(toxic.mean()) if len(rows) else 0.0
+    sampled = float(toxic.mean()) if len(rows) else 0.0
+    share = sampled if share is None else share
     blank = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(3), share)
     if not toxic.any() or toxic.all():
         return blank
@@ -209,15 +260,22 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.
     names: dict[str, int] = {}
     at = np.fromiter([names.setdefault(w, len(names)) for w in tokens], np.int64, len(tokens))
     rows_of = np.array([features(normal(w)) for w in names], np.int64)
+    rounds = []
+    for out in LEFT_OUT:
+        rounds.append(rows_of.copy())
+        rounds[-1][:, list(out)] = 0
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     inside = ~starts[1:]
     gold_pairs = np.array([[(inside & (y[:-1] == i) & (y[1:] == j)).sum() for j in range(2)] for i in range(2)], float)
-    for _ in range(epochs):
-        e = weights[rows_of].sum(1)[at]
+    for epoch in range(epochs):
+        # Words go without their more special features in turn, so that what they share
+        # with words not met here has to tell the tags too.
+        seen = rounds[epoch % len(rounds)]
+        e = weights[seen].sum(1)[at]
         p, pairs, _ = marginals(e, starts, trans)
         by_word = np.bincount(at, y - p, len(names))
-        grad = np.bincount(rows_of.ravel(), np.repeat(by_word, WIDTH), BUCKETS) - 0.02 * weights
+        grad = np.bincount(seen.ravel(), np.repeat(by_word, WIDTH), BUCKETS) - 0.02 * weights
         grad[0] = 0.0
         g2 += grad * grad
         weights += rate * grad / np.sqrt(g2)
@@ -227,9 +285,10 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 40, rate: float = 0.
     model = Model(weights, trans, np.zeros(3))
     x = np.array([summary(p) for p in model.chances(texts)])
     link, prior = np.zeros(3), np.array([0.01, 0.01, 0.01])
+    weight = np.where(toxic, share / sampled, (1 - share) / (1 - sampled))
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ link, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(prior), x.T @ (toxic - q) - prior * link)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(prior), x.T @ (weight * (toxic - q)) - prior * link)
         link = link + np.clip(step, -4, 4)
     model.link = link
     return model
@@ -242,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     there = docs.select("doc_id").join(known, "doc_id")
     ids: dict[int, int] = {}
+    counts = {r[0]: r[1] for r in there.groupBy("y").count().collect()}
     for y in (0, 1):
         ids |= {r[0]: y for r in there.filter(F.col("y") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     if not ids:
@@ -249,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = sorted(((r[0], r[1] or "", r[2]) for r in texts.select("doc_id", "text", "y").collect()), key=lambda r: (r[0], r[1]))
-    return train([(t, y) for _, t, y in {r[0]: r for r in reversed(rows)}.values()])
+    return train([(t, y) for _, t, y in {r[0]: r for r in reversed(rows)}.values()], counts.get(1, 0) / sum(counts.values()))
 
 
 def tag(model: Model, text: Column, spans: bool = True) -> Column:
