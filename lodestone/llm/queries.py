@@ -71,6 +71,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in (*quality.COUNTS, "base_failed", "kept", "posterior")])
 
 
+def pitman_yor_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 counts, without the model's scores, so that SQL can tell it."""
+    return op8_pitman_yor_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 counts, without the verdict of the rules."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_toxicity": op1_crf_toxicity,
@@ -83,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor_scores": op8_pitman_yor_scores,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_quality_rules": op10_quality_rules,
+        "pitman_yor_base": pitman_yor_base,
+        "quality_base": quality_base,
     }
 
 
@@ -136,5 +148,50 @@ FROM n
 """
 
 
+#: Base-32 digits of the payload's SHA-1, four for each five hexadecimal ones.
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top, sha1(h) AS x FROM p
+), r AS (SELECT *, top IS NOT NULL AND page_id IS DISTINCT FROM top AS revisit,
+    list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::INT) AS v FROM t)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(v, lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN top END AS refers_to
+FROM r
+"""
+
+#: CRC-32 bit by bit, as DuckDB has no function for it.
+_CRC = r"""xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::UBIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"""
+
+PITMAN_YOR_BASE_SQL = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, """
+    + _CRC
+    + r""" % 10 = 0 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS tokens FROM documents
+), t AS (SELECT n, held_out, unnest(tokens) AS w FROM d
+), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w
+), g AS (SELECT coalesce(sum(c), 0) AS big, count(*) AS v FROM c
+), b AS (SELECT n, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (big + 0.1::DOUBLE * (v + 1)))) AS score FROM t LEFT JOIN c USING (w), g GROUP BY n)
+SELECT doc_id, held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, big::BIGINT AS train_tokens, round(score, 4) AS base_score FROM d JOIN b USING (n), g
+"""
+)
+
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (SELECT n, unnest(words) AS a, unnest(range(0, len(words))) AS i FROM d
+), x AS (SELECT n, i, a, lead(a) OVER (PARTITION BY n ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY n ORDER BY i) AS c FROM w
+), y AS (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS times FROM x WHERE c IS NOT NULL
+), z AS (SELECT n, count(DISTINCT j) AS again FROM (SELECT n, unnest([i, i + 1, i + 2]) AS j FROM y WHERE times > 1) GROUP BY n
+), l AS (SELECT n, count(*) - count(DISTINCT line) AS dup FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n
+), r AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN l USING (n) LEFT JOIN z USING (n))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_template": OP4_SQL, "op5_curriculum_mix": OP5_SQL}
+    return {"op4_chat_template": OP4_SQL, "op5_curriculum_mix": OP5_SQL, "op9_warc_round_trip": OP9_SQL, "pitman_yor_base": PITMAN_YOR_BASE_SQL, "quality_base": QUALITY_BASE_SQL}
