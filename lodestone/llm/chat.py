@@ -6,7 +6,10 @@ A template is text with `{{ expression }}` and the statements `{% for x in e %}`
 folded, and every node becomes a Python closure.  The language is a sandbox: it knows
 literals, names, item and attribute lookups in dicts and lists, `+ == != < > and or not
 in ~`, and the filters given to the compiler; it has no calls, no attributes of Python
-objects and no loops other than over a list, so rendering always ends.
+objects and no loops other than over a list, so rendering always ends.  In a loop,
+`loop.index0`, `loop.index`, `loop.first`, `loop.last` and `loop.previtem` tell of the place
+in the list; for the messages that is the place in the whole conversation, also where the
+turns of a long one are rendered one after another.
 
 Control strings in the texts are escaped reversibly: a backslash is doubled, and one is
 put after the first character of every control string.  Text inside a generation block is
@@ -380,8 +383,12 @@ def _run(node, filters) -> Callable[[dict, Output], None]:
         over, inner = _value(node.over, filters), _run(node.body, filters)
 
         def loop(env, out, n=node.name):
-            for x in over(env) or ():
-                inner(env | {n: x}, out)
+            items = over(env) or ()
+            before, previous, ends = env["_place"] if items is env["messages"] else (0, None, True)
+            for i, x in enumerate(items):
+                k = before + i
+                about = {"index0": k, "index": k + 1, "first": k == 0, "last": ends and i == len(items) - 1, "previtem": items[i - 1] if i else previous}
+                inner(env | {n: x, "loop": about}, out)
 
         return loop
     if isinstance(node, Generation):
@@ -404,14 +411,16 @@ def _run(node, filters) -> Callable[[dict, Output], None]:
     return choose
 
 
-def compile_template(template: str = TEMPLATE, filters: dict[str, Callable[[str], str]] | None = None) -> Callable[[list[dict]], tuple[str, list[tuple[int, int]]]]:
-    """A function from messages (dicts of role and text) to the text and its loss spans."""
+def compile_template(template: str = TEMPLATE, filters: dict[str, Callable[[str], str]] | None = None) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
+    """A function from messages (dicts of role and text) to the text and its loss spans.
+    For messages that are part of a conversation it takes how many come before them, the
+    one just before, and whether the conversation ends with them."""
     filters = FILTERS if filters is None else filters
     run = _run(fold(Parser(template).template(), filters), filters)
 
-    def render(messages: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+    def render(messages: list[dict], before: int = 0, previous: dict | None = None, ends: bool = True) -> tuple[str, list[tuple[int, int]]]:
         out = Output()
-        run({"messages": messages}, out)
+        run({"messages": messages, "_place": (before, previous, ends)}, out)
         return "".join(out.parts), out.spans
 
     return render
@@ -439,26 +448,35 @@ def render_turns(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """FORMATTED rows: each turn of (conv_id, turn, role, text) rendered, in sorted order
     within its conversation.  seq numbers a conversation's turns from 0; spans are offsets
     within the turn's own text.  A conversation streams through one task turn by turn, so
-    its length isn't bounded by memory.
+    its length isn't bounded by memory; the template sees each turn's place in all of it.
 
     Null texts and roles count as empty; null conv_ids form one conversation; turns with
     equal numbers are ordered by role and text; an empty table gives an empty result."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(template)
-        current, seq = object(), 0
+        held, seq, previous = None, 0, None  # the turn that waits to know if it is the last
+
+        def made(ends: bool) -> tuple:
+            text, spans = render([held[1]], seq, previous, ends)
+            return held[0], seq, text, [{"start": a, "end": b} for a, b in spans]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["conv_id", "seq", "formatted", "spans"])
+            return out.astype({"conv_id": "Int64", "seq": "int64"})
+
         for batch in batches:
             out = []
             for conv, role, text in zip(batch["conv_id"].astype(object), batch["role"], batch["text"], strict=True):
                 conv = None if pd.isna(conv) else int(conv)
-                if conv != current:
-                    current, seq = conv, 0
-                made, spans = render([{"role": role or "", "text": text or ""}])
-                out.append((conv, seq, made, [{"start": a, "end": b} for a, b in spans]))
-                seq += 1
-            frame = pd.DataFrame(out, columns=["conv_id", "seq", "formatted", "spans"])
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+                if held is not None:
+                    same = held[0] == conv
+                    out.append(made(not same))
+                    seq, previous = (seq + 1, held[1]) if same else (0, None)
+                held = (conv, {"role": role or "", "text": text or ""})
+            yield frame(out)
+        if held is not None:
+            yield frame([made(True)])
 
     picked = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
