@@ -7,7 +7,9 @@ Where no run gets that rare, the seed is the longest one up to LONGEST words tha
 has left there; the last SHORTEST - 1 places start none.  Training passages that hold a seed
 meet the item there: the words around it are aligned with the whole item, and a pair
 counts when the best local alignment reaches THRESHOLD of the item's length (a match 1, a
-mismatch or gap -0.5), which finds exact, edited and paraphrased copies.
+mismatch or gap -0.5), which finds exact, edited and paraphrased copies.  Passages of an
+item that overlap are aligned as one, so a text costs at most its length times the item's,
+however often its seeds repeat, and memory in proportion to its length.
 
 Test items go to the tasks in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each block, so what is broadcast has a bound whatever the benchmark's size.
@@ -81,11 +83,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 class Index:
-    """The seeds of a block of items."""
+    """The seeds of a block of items: of each, its item and its first and last place there."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], counts: dict[bytes, int], total: int):
         self.items: list[tuple[int | None, np.ndarray]] = []
-        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        seeds: dict[int, dict[tuple[int, int], list[int]]] = {}
         for item_id, words in items:
             if len(words) < LEAST:
                 continue
@@ -102,54 +104,58 @@ class Index:
                 for n in range(SHORTEST, most + 1):
                     expected *= chance[i + n - 1]
                     if expected < RARE or n == most:
-                        seeds.setdefault(n, []).append((int(runs[n][i]), at, i))
+                        seeds.setdefault(n, {}).setdefault((int(runs[n][i]), at), [i, i])[1] = i
                         break
         self.by_length = {}
-        for n, rows in seeds.items():
-            rows.sort()
+        for n, places in seeds.items():
+            rows = sorted((key, at, low, high) for (key, at), (low, high) in places.items())
             key = np.array([r[0] for r in rows], np.uint64)
             table = np.zeros(1 << TABLE_BITS, bool)
             table[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            self.by_length[n] = (key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), table)
+            self.by_length[n] = (key, [r[1:] for r in rows], table)
 
-    def find(self, hashes: np.ndarray) -> list[tuple[int | None, float, int, int]]:
-        """(item_id, score, first word, word after the last) of each item in one text."""
-        runs, hits = hashes, []
+    def passages(self, hashes: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """Of each item met in a text, where passages begin and end that may hold it."""
+        runs, met = hashes, {}
         for n in range(2, LONGEST + 1):
             runs = longer(runs, hashes, n)
             if not len(runs):
                 break
             if n not in self.by_length:
                 continue
-            key, item, place, table = self.by_length[n]
+            key, seeds, table = self.by_length[n]
             where = np.flatnonzero(table[(runs >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             if not len(where):
                 continue
             low, high = np.searchsorted(key, runs[where], "left"), np.searchsorted(key, runs[where], "right")
-            for p, a, b in zip(where[high > low], low[high > low], high[high > low], strict=True):
-                hits += [(int(item[k]), int(p) - int(place[k])) for k in range(a, b)]
-        out: dict[int, tuple[float, int, int]] = {}
-        for item, starts in _grouped(hits).items():
-            words = self.items[item][1]
-            m = len(words)
-            slack = 5 + m // 4
-            until = None
-            for s in starts:
-                if until is not None and s + m + slack <= until:
-                    continue
-                first, last = max(0, s - slack), min(len(hashes), s + m + 2 * slack)
-                until = last
-                score, a, b = align(words, hashes[first:last])
-                if score >= THRESHOLD * m and score / m > out.get(item, (0.0,))[0]:
-                    out[item] = (score / m, first + a, first + b)
-        return [(self.items[k][0], *v) for k, v in sorted(out.items())]
-
-
-def _grouped(hits: list[tuple[int, int]]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for item, start in sorted(set(hits)):
-        out.setdefault(item, []).append(start)
-    return out
+            order = np.argsort(low, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(low[order])) + 1):
+                at = where[own]
+                for k in range(int(low[own[0]]), int(high[own[0]])):
+                    item, first, last = seeds[k]
+                    m = len(self.items[item][1])
+                    slack = 5 + m // 4
+                    met.setdefault(item, []).append(np.stack([at - last - slack, at - first + m + slack]))
+        return met
+
+    def find(self, hashes: np.ndarray) -> list[tuple[int | None, float, int, int]]:
+        """(item_id, score, first word, word after the last) of each item in one text."""
+        out = []
+        for item, found in sorted(self.passages(hashes).items()):
+            item_id, words = self.items[item]
+            begin, end = np.concatenate(found, 1)
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            apart = np.flatnonzero(begin[1:] > end[:-1])
+            best = (0.0, 0, 0)
+            for a, b in zip(np.append(begin[0], begin[1:][apart]), np.append(end[:-1][apart], end[-1]), strict=True):
+                a, b = max(0, int(a)), min(len(hashes), int(b))
+                score, x, y = align(words, hashes[a:b])
+                if score > best[0]:
+                    best = (score, a + x, a + y)
+            if best[0] >= THRESHOLD * len(words):
+                out.append((item_id, best[0] / len(words), *best[1:]))
+        return out
 
 
 def word_counts(docs: DataFrame, wanted: set[bytes]) -> tuple[dict[bytes, int], int]:
