@@ -25,9 +25,14 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes:
     edges = cut(edges.select("src", "dst").distinct())
     goals = targets.select(F.col("node").alias("goal")).distinct()
     near = [goals.select(F.col("goal").alias("node"))]
+    known, grows = -1, True
     for _ in range(most_nodes - 1):
-        back = edges.join(near[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"))
-        near.append(cut(near[-1].union(back).distinct()))
+        if grows:
+            back = edges.join(near[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"))
+            near.append(cut(near[-1].union(back).distinct()))
+            known, grows = (n := near[-1].count()), n != known
+        else:  # all that reach a target at all are known
+            near.append(near[-1])
     walk = sources.select("node").distinct().select(F.array("node").alias("path"), F.col("node").alias("last"))
     found = None
     for depth in range(2, most_nodes + 1):
@@ -41,6 +46,8 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes:
         if visits is not None:
             walk = walk.orderBy("path").limit(visits)
         found = done if found is None else found.union(done)
+        if walk.isEmpty():
+            break
     return found.distinct()
 
 
