@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -47,6 +48,27 @@ def test_quality_posterior_separates_kinds_of_bad():
     assert quality.fit({}) == {}
 
 
+def test_quality_fit_against_plain_expectation_maximisation():
+    patterns = {"++++++++": 500, "+-++++++": 60, "-+++++-+": 40, "+----++-": 30, "0+++++0+": 5}
+    classes = [quality.GOOD] + [quality.OTHER] * len(quality.GROUPS)
+    p = [[dict(zip("+0-", quality.OWN if c and quality.RULES[r] in quality.GROUPS[c - 1] else classes[c], strict=True)) for r in range(8)] for c in range(len(classes))]
+    belief = [[dict(x) for x in row] for row in p]
+    prior, total = [0.8] + [0.2 / (len(p) - 1)] * (len(p) - 1), sum(patterns.values())
+    for _ in range(300):
+        post = {}
+        for v in patterns:
+            joint = [prior[c] * math.prod(p[c][r][o] for r, o in enumerate(v)) for c in range(len(p))]
+            post[v] = [j / sum(joint) for j in joint]
+        for c in range(len(p)):
+            for r in range(8):
+                n = {o: sum(patterns[v] * post[v][c] for v in patterns if v[r] == o) + quality.PRIOR_SHARE * total * belief[c][r][o] for o in "+0-"}
+                p[c][r] = {o: x / sum(n.values()) for o, x in n.items()}
+            prior[c] = (sum(patterns[v] * post[v][c] for v in patterns) + 1e-3 * total) / (total * (1 + 1e-3 * len(p)))
+    got = quality.fit(patterns)
+    assert all(math.isclose(got[v], post[v][0], abs_tol=1e-9) for v in patterns)
+    assert got["+-++++++"] > 0.9 and got["-+++++-+"] < 0.1
+
+
 def enumerated(emission, trans):
     """Marginals of one chain over all tag sequences."""
     n, total, top = len(emission), 0.0, np.zeros(len(emission))
@@ -69,6 +91,33 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p, np.concatenate([x for x, _ in parts])) and math.isclose(logz, sum(z for _, z in parts))
 
 
+def test_long_chains_are_not_cut():
+    rng = np.random.default_rng(3)
+    lengths, trans = [700, 1, 64, 65, 128, 3, 200], rng.normal(size=(2, 2))
+    emission = rng.normal(size=sum(lengths)) * 2
+    starts = np.zeros(len(emission), bool)
+    starts[np.cumsum([0, *lengths[:-1]])] = True
+    p, pairs, logz = toxicity.marginals(emission, starts, trans)
+    m, want, all_pairs, total = np.exp(trans), [], np.zeros((2, 2)), 0.0
+    for e in np.split(emission, np.cumsum(lengths)[:-1]):
+        f, b = np.zeros((len(e), 2)), np.ones((len(e), 2))
+        w = np.stack([np.ones(len(e)), np.exp(e)], 1)
+        f[0] = w[0]
+        for i in range(1, len(e)):
+            total += math.log(f[i - 1].sum())
+            f[i - 1] /= f[i - 1].sum()
+            f[i] = f[i - 1] @ m * w[i]
+        total += math.log(f[-1].sum())
+        for i in range(len(e) - 1, 0, -1):
+            b[i - 1] = m @ (b[i] * w[i])
+            b[i - 1] /= b[i - 1].sum()
+            joint = f[i - 1][:, None] * m * (b[i] * w[i])[None, :]
+            all_pairs += joint / joint.sum()
+        post = f * b
+        want.append(post[:, 1] / post.sum(1))
+    assert np.allclose(p, np.concatenate(want)) and np.allclose(pairs, all_pairs) and math.isclose(logz, total)
+
+
 def test_toxicity_learns_words_and_prefixes():
     rng = random.Random(4)
     plain = [f"w{rng.randrange(300)}" for _ in range(4000)]
@@ -104,12 +153,27 @@ def page(body):
         ("<p>a<!-- no --><p>b &lt;tag&gt; &#233;", "a b <tag> é"),
         ("<article><p>cut off <b", "cut off"),
         (page("<article><p hidden>no</p><ul><li>one<li>two</ul></article>"), "one two"),
+        ('<div style="overflow:hidden"><p>real text', "real text"),
+        ('<p title="the hidden valley">a<p data-hidden="false">b<div data-id="ad">c</div>', "a b c"),
+        ('<p><a href="/search?id=ad">link words</a> on', "link words on"),
+        ('<p>keep <span class="share">no<br>no</span> more', "keep more"),
+        ("<p>keep <span hidden>no<br></span> more", "keep more"),
+        (page("<main><h1>Title</h1><p>long text</p><article class=card>quoted</article></main><article>out"), "Title long text quoted out"),
+        (page("<div class='no-sidebar'><main><p>yes</p></main></div>"), "yes"),
+        ("<div>" * 3000 + "deep" + "</p></div>" * 5000 + " <p>x", "deep x"),
     ],
 )
 def test_html(source, want):
     assert next(html_extract.extract_iter([source])) == want
 
 
+def test_parsing_is_linear():
+    began = time.process_time()
+    for source in ("<div>x" * 30_000, "<div>x" * 15_000 + "</div>" * 40_000, "<p>x<b>" * 30_000, "</i>x" * 100_000, "<a " + "x='y' " * 100_000 + ">z", "<a x='" * 50_000, "<ul><li>" * 15_000):
+        html_extract.Page(source).hashes()
+    assert time.process_time() - began < 60
+
+
 def sw(a, b):
     best, h = 0.0, [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
@@ -154,6 +218,15 @@ def test_leaks_of_short_items_of_common_words():
     assert index.find(vocabulary.hashed(noise + words + noise))
 
 
+def test_repeated_seeds_cost_the_text_once():
+    words = [b"a"] * 200
+    index = decontaminate.Index([(1, words), (2, [b"a", b"b"] * 50)], {b"a": 10**6, b"b": 10**6}, 10**7)
+    vocabulary, began = Vocabulary(), time.process_time()
+    assert index.find(vocabulary.hashed([b"a"] * 40_000))[0][:2] == (1, 1.0)
+    assert [h[0] for h in index.find(vocabulary.hashed([b"a", b"b"] * 20_000))] == [2]
+    assert time.process_time() - began < 20
+
+
 def test_template_language():
     render = chat.compile_template("{% set x = 'a' ~ (1 + 2) %}{% for m in messages %}{% if not m.role == 'user' and m['text'] != 'z' %}<{{ m.text }}>{% elif m.role in 'user' %}u{% else %}-{% endif %}{% endfor %}{{ x }}")
     assert render([{"role": "user", "text": "q"}, {"role": "bot", "text": "r"}, {"role": "bot", "text": "z"}]) == ("u<r>-a3", [])
@@ -165,6 +238,15 @@ def test_template_language():
     assert chat.compile_template("{{ messages.__class__ }}{{ m.__init__ }}")([])[0] == ""
 
 
+def test_template_knows_the_place_in_a_conversation():
+    source = "{% for m in messages %}{% if loop.first %}^{% endif %}{{ loop.index }}{{ m.text }}{% if loop.previtem.role == m.role %}+{% endif %}{% if loop.last %}${% endif %}{% endfor %}"
+    render, turns = chat.compile_template(source), [{"role": r, "text": t} for r, t in (("u", "a"), ("u", "b"), ("s", "c"))]
+    whole = render(turns)[0]
+    assert whole == "^1a2b+3c$"
+    parts = [render([t], k, turns[k - 1] if k else None, k == 2)[0] for k, t in enumerate(turns)]
+    assert "".join(parts) == whole and render([])[0] == ""
+
+
 def test_chat_round_trip():
     rng = random.Random(8)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "\\", "\n", "<", "é", "", "x", "\x00", "</s>[INST] ok [/INST]"]
@@ -212,15 +294,14 @@ def test_warc_records_and_ranges(tmp_path):
     assert got[2][2].partition(b"\r\n\r\n")[2].removesuffix(b"\r\n\r\n") == pages[2][2] and got[3][1]["x-refers-to-page"] == "9"
 
 
-def model_probabilities(texts, learn):
-    """log10 of every token of one block, through the same steps as in Spark."""
-    sent = pitman_yor.send(0, texts, np.array(learn), 1)
-    b = pitman_yor.Bucket(sent)
-    g = np.zeros(2 * pitman_yor.CLASSES + 6)
-    for k, x in b.counts().items():
-        g[k] += x
-    totals = np.concatenate([np.append(np.bincount(b.context, t, pitman_yor.CLASSES), t0.sum()) for t, t0 in pitman_yor.sample(b, g, 0)])
-    return b, g, totals
+def model_logs(texts, learn):
+    """The bucket of one block, and log10 of every token, through the same steps as in Spark."""
+    b = pitman_yor.Bucket(pitman_yor.send(0, texts, np.array(learn), 1))
+    kept = pitman_yor.sample(b, 0)
+    answer = pitman_yor.answer(b, kept, pitman_yor.tables_offered(b, kept)[1], 0)
+    hashes, place, context, lengths = pitman_yor.layout(texts)
+    logs = pitman_yor.told_logs(answer["logs"].tolist())
+    return b, logs[pitman_yor.cells_of(hashes, place, context, 1)[2]], np.cumsum(lengths) - lengths
 
 
 def test_predictive_probabilities_sum_to_one():
@@ -228,55 +309,67 @@ def test_predictive_probabilities_sum_to_one():
     vocabulary = [f"w{i}" for i in range(30)]
     texts = [" ".join(rng.choices(vocabulary, range(1, 31), k=40)) for _ in range(50)]
     # Every context meets every token, the unknown one included, in texts that don't teach.
-    enders = {}
-    for w in itertools.chain(vocabulary):
-        enders.setdefault(pitman_yor.layout([f"{w} {w}"])[2][1], w)
-    probe = [f"{p} {w}" for p in enders.values() for w in [*vocabulary, "unseen"]] + list(enders.values())
-    b, g, totals = model_probabilities(texts + probe, [True] * len(texts) + [False] * len(probe))
-    answer = pitman_yor.answer(b, g, totals, 0, 0)
-    logs = np.frombuffer(answer["logs"].iloc[0], np.float32)
-    hashes, place, context, lengths = pitman_yor.layout(texts + probe)
-    order, _, cell = pitman_yor.cells_of(hashes, place, context, 1)
-    at = np.cumsum(lengths) - lengths
+    probe = [f"{p} {w}" for p in vocabulary for w in [*vocabulary, "unseen"]] + vocabulary
+    _, logs, at = model_logs(texts + probe, [True] * len(texts) + [False] * len(probe))
     sums = Counter()
     for text, i in list(zip(texts + probe, at, strict=True))[len(texts) :]:
         # The second token: a word, or the end for one-word texts.
-        sums[text.split()[0]] += 10.0 ** float(logs[cell[i + 1]])
-    assert len(sums) >= 5 and all(abs(x - 1) < 1e-4 for x in sums.values())
-
-
-def test_seating_keeps_counts():
-    rng = np.random.default_rng(11)
-    c = np.array([1, 2, 5, 40, 128])
-    s = pitman_yor.Seating(c, np.full(5, 0.7), 0.5, rng)
-    for _ in range(200):
-        s.move(np.full(5, 0.7))
-        for k in range(5):
-            own = s.table[s.start[k] : s.start[k] + c[k]]
-            assert len(set(own)) == s.t[k] and all(s.size[t] == (own == t).sum() for t in set(own))
-    t = pitman_yor.tables(np.array([0, 1, 2, 10**9]), np.full(4, 0.3), 0.6, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 < t[3] < 10**8
-
-
+        sums[text.split()[0]] += 10.0 ** logs[i + 1]
+    assert len(sums) == 30 and all(abs(x - 1) < 1e-4 for x in sums.values())
 
 
 def test_words_are_contexts_of_their_own():
-    # Words of equal last bytes, hence once of one class, lead to different words.
     pairs = [(f"{i}same", f"next{i}") for i in range(100)]
     texts = [f"{a} {b}" for a, b in pairs] * 3
     probe = [f"{a} {pairs[(i + k) % 100][1]}" for k in (0, 1) for i, (a, _) in enumerate(pairs)]
-    b, g, totals = model_probabilities(texts + probe, [True] * len(texts) + [False] * len(probe))
-    logs = np.frombuffer(pitman_yor.answer(b, g, totals, 0, 0)["logs"].iloc[0], np.float32)
-    hashes, place, context, lengths = pitman_yor.layout(texts + probe)
-    cell = pitman_yor.cells_of(hashes, place, context, 1)[2]
-    second = logs[cell[(np.cumsum(lengths) - lengths)[len(texts) :] + 1]]
+    _, logs, at = model_logs(texts + probe, [True] * len(texts) + [False] * len(probe))
+    second = logs[at[len(texts) :] + 1]
     assert second[:100].min() > math.log10(0.3) and second[100:].max() < math.log10(0.1)
 
 
-def test_tables_of_large_cells_and_the_parent_are_conditional():
+def interpolated_bigram(train, test):
+    """log10 a token of a Witten-Bell bigram over a Witten-Bell unigram over V + 1 tokens."""
+    one, two, after = Counter(), Counter(), Counter()
+    for words in train:
+        for a, b in zip(["", *words], [*words, ""], strict=True):
+            one[b] += 1
+            after[a] += two[a, b] == 0
+            two[a, b] += 1
+    total, v = sum(one.values()), len(one)
+    seen = Counter()
+    for (a, _), n in two.items():
+        seen[a] += n
+    out = n = 0
+    for words in test:
+        for a, b in zip(["", *words], [*words, ""], strict=True):
+            p = (one[b] + v / (v + 1)) / (total + v)
+            if seen[a]:
+                p = (two[a, b] + after[a] * p) / (seen[a] + after[a])
+            out, n = out + math.log10(p), n + 1
+    return out / n
+
+
+def test_held_out_text_is_told_better_than_by_an_interpolated_bigram():
+    rng = random.Random(13)
+    vocabulary = [f"w{int(1.4 ** (i / 12))}x{i}" for i in range(600)]
+    follow = {w: rng.sample(vocabulary, 12) for w in vocabulary}
+
+    def text():
+        words = [rng.choice(vocabulary)]
+        for _ in range(rng.randrange(20, 60)):
+            words.append(follow[words[-1]][min(11, int(rng.expovariate(0.4)))] if rng.random() < 0.8 else rng.choices(vocabulary, range(600, 0, -1))[0])
+        return words
+
+    train, test = [text() for _ in range(300)], [text() for _ in range(80)]
+    _, logs, at = model_logs([" ".join(t) for t in train + test], [True] * 300 + [False] * 80)
+    held = logs[at[300] :]
+    assert held.mean() > interpolated_bigram(train, test)
+
+
+def test_tables_follow_their_conditional_distribution():
     rng, d = np.random.default_rng(12), 0.8
     numbers = pitman_yor.stirling(d)
-    for c, pull in ((3, 0.5), (60, 5.0), (2000, 20.0)):
+    for c, pull in ((2, 0.01), (3, 0.5), (60, 5.0), (700, 40.0), (2000, 20.0), (5000, 3.0)):
         logs = np.full(c + 2, -np.inf)
         logs[1] = 0.0
         for n in range(1, c):
@@ -287,6 +380,6 @@ def test_tables_of_large_cells_and_the_parent_are_conditional():
         t = np.arange(c + 2)
         p = np.exp((x := logs + t * math.log(pull)) - x.max())
         got = pitman_yor.drawn(np.full(20_000, c), np.full(20_000, pull), d, numbers, rng)
-        assert abs(got.mean() / ((t * p).sum() / p.sum()) - 1) < 0.02
-        old = pitman_yor.tables(np.full(2000, c), np.full(2000, pull), d, rng).mean()
-        assert c < 2000 or old > 2 * got.mean()
+        mean = (t * p).sum() / p.sum()
+        assert abs(got.mean() / mean - 1) < 0.02
+        assert abs(got.var() - ((t - mean) ** 2 * p).sum() / p.sum()) < 0.05 * got.var() + 1e-3

@@ -6,11 +6,12 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, html_extract, minhash, mixing, pitman_yor, quality, toxicity, warc
+from lodestone.llm import chat, decontaminate, html_extract, langid, minhash, mixing, pitman_yor, quality, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +62,70 @@ def test_near_dedup_against_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_planted_copies(spark):
+    """Pairs from 0.85 up: every pair with enough in common is found, no other is."""
+    rng = random.Random(21)
+    data, pairs = [], []
+    for k in range(150):
+        base = [f"t{rng.randrange(4000)}" for _ in range(rng.randrange(80, 300))]
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(len(copy))] = f"y{rng.randrange(4000)}"
+        data += [(2 * k, " ".join(base), "en", "s0", 0), (2 * k + 1, " ".join(copy), "en", "s0", 0)]
+        pairs.append(jaccard(base, copy))
+    near = [k for k, j in enumerate(pairs) if j >= 0.85]
+    assert len([k for k in near if pairs[k] < 0.95]) > 40
+    got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(data, DOCS)).collect()}
+    assert {k for k in range(150) if got[2 * k + 1] == 2 * k} == set(near) and all(got[2 * k] == 2 * k for k in range(150))
+
+
+def test_near_dedup_of_hot_buckets_in_tiles(spark, monkeypatch):
+    """A group whose members mostly aren't linked with its first one, in many small tiles."""
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "FOREST", 5)
+    rng = random.Random(22)
+    base = [f"b{i}" for i in range(200)]
+    data = []
+    for k in range(40):
+        copy = list(base)
+        for i in range(k % 8):  # eight stages apart from the base, neighbours alike
+            copy[i * 20 + 10] = f"z{i}"
+        copy[rng.randrange(200)] = f"u{k}"
+        data.append((k, " ".join(copy), "en", "s0", 0))
+    got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(data, DOCS)).collect()}
+    _, low = components_by_hand(data, 85)
+    assert got == {r[0]: x for r, x in zip(data, low, strict=True)}
+
+
+def test_connected_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FOREST", 3)
+    rng = random.Random(23)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(20)]
+    frame = minhash.cut(spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in edges], "a binary, b binary").repartition(7))
+    got = {bytes(r.node): bytes(r.component) for r in minhash.connected(frame).collect()}
+    low = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {b"%03d" % x: b"%03d" % low[x] for x in linked}
+
+
+def test_distinct_documents_keep_other_texts_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    other = " ".join(f"v{i}" for i in range(50))
+    data = [(1, text, "en", "a", 0), (2, text + " more", "en", "a", 0), (2, other, "en", "a", 0), (None, text, "en", "b", 0), (None, other + " x", "en", "b", 0), (3, "", "en", "a", 0), (3, "", "en", "a", 0), (4, None, None, None, None), (5, "odd one", "en", "a", 0), (5, "odd one", "en", "a", 0)]
+    frame = spark.createDataFrame(data, DOCS).withColumn("_i0", F.lit("mine")).withColumn("id", F.lit(7))
+    out = minhash.distinct_documents(frame, 80)
+    assert out.columns == frame.columns
+    assert sorted(((r.doc_id or -1), (r.text or "")[:3]) for r in out.collect()) == [(1, "w0 "), (2, "v0 "), (3, ""), (3, ""), (4, ""), (5, "odd")]
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_dedup_estimate_seldom_misses(spark, percent):
     bands, width = minhash.bands_for(percent)
@@ -80,8 +145,7 @@ def test_empty_tables(spark, docs):
     assert mixing.assign(none).count() == 0 and mixing.mix(none).count() == 0
     assert decontaminate.clean(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
-    scored, n = pitman_yor.score(none.select("doc_id", "text", F.lit(True).alias("learn")))
-    assert scored.count() == 0 and n == 0
+    assert pitman_yor.score(none.select("doc_id", "text", F.lit(True).alias("learn"))).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).count() == 0 and warc.archive(pages).count() == 0
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -106,6 +170,28 @@ def test_mixing(docs):
     assert sorted(map(str, ((r.doc_id, r.taken) for r in again))) == sorted(map(str, ((r.doc_id, r.taken) for r in got)))
 
 
+def test_quality_of_single_votes(spark):
+    """A rule that good documents fail often weighs little; one that they don't, more."""
+    rng = random.Random(24)
+    words = lambda n: " ".join(rng.choice("abcdefghij") + "".join(rng.choice("aeiounrst") for _ in range(4)) for _ in range(n))
+    good = [words(80) for _ in range(150)]
+    lines = ["\n".join((x := words(3), words(80), x)) for _ in range(30)]  # a short line twice, else fine
+    symbols = [" ".join(w + "###" for w in words(80).split()) for _ in range(20)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(good + lines + symbols)], "doc_id long, text string")
+    got = {r.doc_id: r._quality for r in quality.assess(frame).collect()}
+    assert got == {r.doc_id: r._quality for r in quality.judged_ids(frame).collect()}
+    assert all(got[k].kept for k in range(180)) and not any(got[k].kept or got[k].base_failed for k in range(180, 200))
+    assert all("-" in got[k].votes for k in range(150, 180))
+
+
+def test_quality_columns_may_clash(docs):
+    frame = docs.withColumn("_quality", F.lit("mine")).withColumn("votes", F.lit(1))
+    with pytest.raises(ValueError):
+        quality.assess(frame)
+    kept = quality.kept_by(frame)
+    assert kept.columns == frame.columns and {r._quality for r in kept.collect()} <= {"mine"}
+
+
 def test_quality_keeps_columns(docs):
     out = quality.assess(docs.withColumn("kept", F.lit("mine")))
     assert out.columns == [*docs.columns, "kept", "_quality"] and out.count() == docs.count()
@@ -113,6 +199,30 @@ def test_quality_keeps_columns(docs):
     assert blank and not any(r.kept or r.n_words for r in blank)
 
 
+def test_toxicity_without_texts_or_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), none)
+    assert {r.s for r in docs.select(toxicity.tag(model, F.col("text"))["score"].alias("s")).collect()} == {0.0}
+    assert toxicity.score(docs.filter("false"), model).count() == 0
+    one = spark.createDataFrame([(1, 1), (2, 1), (2, None)], "doc_id long, toxic int")
+    assert {r.s for r in docs.select(toxicity.tag(toxicity.fit(docs.select("doc_id", "text"), one), F.col("text"))["score"].alias("s")).collect()} == {1.0}
+
+
+def test_languages_over_tables(spark):
+    rng = random.Random(27)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    data = [(k, make("abcd" if k % 2 else "uvwx"), "ab" if k % 2 else "uv") for k in range(120)] + [(200, None, "ab"), (201, "", "uv"), (202, "½ Ⅷ 12", "ab"), (None, make("abcd"), None), (203, make("uvwx") * 400, None)]
+    frame = spark.createDataFrame(data + data[:3], "doc_id long, text string, lang string").withColumn("l", F.lit(0))
+    net = langid.fit(frame.filter("doc_id < 100"))
+    got = frame.select("doc_id", langid.identify(net, F.col("text")).alias("r")).collect()
+    by = {r.doc_id: r.r.lang_pred for r in got}
+    assert len(got) == len(data) + 3 and by[200] == by[201] == by[202] == "und" and by[None] == "ab" and by[203] == "uv" and all(by[k] == ("ab" if k % 2 else "uv") for k in range(100, 120))
+    empty = langid.fit(frame.filter("false"))
+    assert {r.r.lang_pred for r in frame.select(langid.identify(empty, F.col("text")).alias("r")).collect()} == {"und"}
+    few = langid.fit(frame, per_lang=5, most_langs=1)
+    assert few.langs == ["ab"] or few.langs == ["uv"]
+
+
 def test_toxicity_over_tables(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     marked = docs.withColumn("text", F.when((F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 60), F.concat(F.lit("scum "), "text")).otherwise(F.col("text")))
@@ -133,6 +243,72 @@ def test_decontamination(spark, docs):
     assert decontaminate.clean(every, bench).count() == docs.count()
 
 
+def leaked(data, items):
+    """(doc_id, item_id) by full Smith-Waterman of every text with every item."""
+    out = set()
+    for i, text, *_ in data:
+        words = (text or "").lower().split()
+        for j, item in items:
+            m = (item or "").lower().split()
+            if len(m) < decontaminate.LEAST:
+                continue
+            h = [0.0] * (len(words) + 1)
+            best = 0.0
+            for a in m:
+                new = [0.0]
+                for k, b in enumerate(words, 1):
+                    new.append(max(0, h[k - 1] + (1 if a == b else -0.5), h[k] - 0.5, new[-1] - 0.5))
+                h, best = new, max(best, *new)
+            if best >= 0.5 * len(m):
+                out.add((i, j))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(25)
+    common = [f"c{i}" for i in range(25)]
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(2000)}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(6, 40)))) for k in range(12)] + [(90, "c1 c1 c1 c1 c1 c1 c1 c1"), (91, "two words")]
+    data = [(k, " ".join(word() for _ in range(rng.randrange(40, 120)))) for k in range(30)]
+    edited = []
+    for rate in (0.0, 0.05, 0.1, 0.15, 0.2):
+        for j, item in items[:12]:
+            w = [f"e{rng.randrange(99)}" if rng.random() < rate else x for x in item.split()]
+            w = [x for x in w if rng.random() > rate / 3]
+            data.append((len(data), " ".join([word() for _ in range(20)] + w + [word() for _ in range(20)])))
+            edited.append((rate, len(data) - 1, j))
+    data += [(500, "c1 " * 3000), (501, None), (502, "")]
+    want = leaked(data, items)
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= want and len(found) >= 0.95 * len(want) and (500, 90) in found
+    for rate, least in ((0.0, 1.0), (0.05, 1.0), (0.1, 0.9), (0.15, 0.85)):
+        own = [(i, j) for r, i, j in edited if r == rate and (i, j) in want]
+        assert sum(x in found for x in own) >= least * len(own)
+
+
+def test_template_counts_against_brute_force(spark):
+    rng = random.Random(26)
+    pages = []
+    for k in range(60):
+        parts = [f"<div class='x{j}'><p>box {j} {rng.randrange(2) if j % 2 else ''}</p></div>" for j in range(6) if rng.random() < 0.7]
+        links = "".join(f"<li><a href='/{rng.random()}'>go {rng.randrange(99)}</a></li>" for _ in range(rng.randrange(2, 6)))
+        pages.append((k, f"http://h{k % 3}.org/{k}", f"<body>{''.join(parts)}<div><ul>{links}</ul></div><div><p>{' '.join(str(rng.random()) for _ in range(30))}</p></div></body>"))
+    frame = spark.createDataFrame(pages + pages[:5], "page_id long, url string, html string")
+    got = {(r.host, r.hash) for r in html_extract.templates(html_extract.hashed(html_extract.keyed(frame))).collect()}
+    seen, hosts = Counter(), Counter()
+    for _, url, source in pages:
+        counted, _, _ = html_extract.Page(source).hashes()
+        host = url.split("/")[2]
+        hosts[host] += 1
+        seen.update((host, h) for h in counted)
+    assert got == {(h, x) for (h, x), n in seen.items() if n >= 3 and n >= 0.3 * hosts[h]} and got
+    # Only recurrence tells these boxes and menus from text: none has a telling name.
+    texts = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert all("go" not in t.split() and len(t.split()) >= 30 for t in texts.values())
+    assert any("go" in html_extract.Page(p[2]).text().split() for p in pages)
+
+
 def test_template_removal(spark):
     body = lambda k: f"<div class='top'>Site tagline here</div><div><p>story {k} {'x' * 60}</p></div><div class='fin'>About us</div>"
     pages = [(k, f"http://host.org/{k}", body(k)) for k in range(9)] + [(50, "http://other.org/1", body(50)), (51, None, None), (51, None, None)]
@@ -155,6 +331,16 @@ def test_templates_follow_the_host(spark):
     assert [got[k] for k in range(200, 205)] == [f"story {k} {'x' * 60}" for k in range(4)] + ["hi"]
 
 
+def test_archive_splits(spark, tmp_path):
+    long = "x" * 3_000_000
+    pages = [(k, f"u{k}", f"page {k % 50} " * (k % 7)) for k in range(400)] + [(1000, "long", long)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("_s", F.lit(1)).repartition(4)
+    written = warc.write(frame, f"file://{tmp_path}/w")
+    whole = warc.read(written).select("page_id", "payload_digest", "record_type").collect()
+    small = warc.read(written, split=700).select("page_id", "payload_digest", "record_type").collect()
+    assert sorted(whole) == sorted(small) and len(whole) == 401
+
+
 def test_archive(spark):
     pages = [(1, "u", "same"), (5, "v", "same"), (5, "v", "same"), (None, "w", "same"), (2, None, None), (3, "x", ""), (4, "y", "é" * 9)]
     got = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
@@ -173,15 +359,51 @@ def test_chat_tables(spark):
     assert got[None].loss_chars == 6 and got[None].loss_sha256 == sha("[ANS]\\")
 
 
+def test_chat_streams_like_whole_conversations(spark):
+    source = "{% for m in messages %}{% if loop.first %}<{% endif %}{{ loop.index }}{{ m.text }}{% if loop.previtem.role == m.role %}+{% endif %}{% if loop.last %}>{% endif %}{% endfor %}"
+    turns = [(c, t, "us"[(t * c) % 3 % 2], f"x{t}") for c in range(8) for t in range(c * 5)] + [(9, 0, None, None)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(0)).repartition(5)
+    made = {}
+    for r in sorted(chat.render_turns(frame, source).collect(), key=lambda r: (r.conv_id, r.seq)):
+        made[r.conv_id] = made.get(r.conv_id, "") + r.formatted
+    render, by = chat.compile_template(source), {}
+    for c, _, role, text in turns:
+        by.setdefault(c, []).append({"role": role or "", "text": text or ""})
+    assert made == {c: render(m)[0] for c, m in by.items()}
+
+
+def test_chat_of_a_long_conversation(spark):
+    turns = spark.range(25_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>x").alias("text"))
+    long = turns.limit(1).withColumn("conv_id", F.lit(2).cast("long")).withColumn("text", F.repeat(F.lit("<s>word "), 200_000)).withColumn("role", F.lit("assistant"))
+    got = {r.conv_id: r for r in chat.digests(turns.unionByName(long)).collect()}
+    assert got[1].n_turns == 25_000 and got[1].loss_chars == 12_500 * 5 and got[2].loss_chars == 200_000 * 8
+
+
 def test_scores(spark, docs):
     learn = docs.select("doc_id", "text", (F.coalesce("doc_id", F.lit(1)) % 3 != 0).alias("learn"))
-    one, n = pitman_yor.score(learn)
-    one = one.collect()
-    many, m = pitman_yor.score(learn, block_bytes=40_000)
-    many = many.collect()
-    assert n == m and len(one) == len(many) == docs.count()
-    flat = lambda x: sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in x)
+    one = pitman_yor.score(learn).collect()
+    many = pitman_yor.score(learn, block_bytes=40_000).collect()
+    assert len(one) == len(many) == docs.count()
+    flat = lambda x: sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in x)
     assert flat(one) == flat(many)
+    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower()) + [""], r.learn) for r in learn.collect()]
+    count = Counter(w for _, words, own in rows if own for w in words)
+    n, v = sum(count.values()), len(count)
+    base = lambda words: sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+    want = [(-1 if i is None else i, len(words), sum(count[w] > 0 for w in words), n, round(base(words), 6)) for i, words, _ in rows]
+    assert [x[:4] for x in flat(one)] == [x[:4] for x in sorted(want)]
+    assert all(math.isclose(a[4], b[4], abs_tol=2e-6) for a, b in zip(flat(one), sorted(want), strict=True))
     assert all(r.score < 0 and r.n_known <= r.n_tokens for r in one)
     held = [r for r in one if not r.learn]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # Blocks of their own change sums of other buckets, which are estimated while sampling.
+    key = lambda x: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in x)
+    apart = [abs(a[2] - b[2]) / a[1] for a, b in zip(key(one), key(many), strict=True)]
+    assert sum(apart) / len(apart) < 0.03 and max(apart) < 0.3
+
+
+def test_scores_of_long_texts_and_other_columns(spark):
+    long = " ".join(f"k{i % 5000}" for i in range(60_000))
+    frame = spark.createDataFrame([(1, long, True, 5.0), (2, None, False, 1.0), (2, "k1 k2", False, None)], "doc_id long, text string, learn boolean, score double")
+    got = {(r.doc_id, r.n_tokens): r for r in pitman_yor.score(frame, block_bytes=10_000).collect()}
+    assert set(got) == {(1, 60_001), (2, 1), (2, 3)} and got[2, 3].n_known == 3 and got[2, 3].train_tokens == 60_001
