@@ -201,7 +201,7 @@ def seeds(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     many toxic documents would have them, or have them more than once, as others, beyond
     chance (a log-likelihood ratio above the logarithm of the number of features tried).
     Equal texts count once."""
-    count: dict[tuple[str, bool], list[int]] = {}
+    count: dict[str, list[int]] = {}  # others and toxic ones that have it, and more than once
     once = {tuple(tokens): (tokens, t) for tokens, t in zip(texts, toxic, strict=True)}
     for tokens, t in once.values():
         held: dict[str, int] = {}
@@ -210,19 +210,20 @@ def seeds(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
                 for a in affixes(w):
                     held[a] = held.get(a, 0) + n
         for a, n in held.items():
-            count.setdefault((a, False), [0, 0])[int(t)] += 1
-            if n > 1:
-                count.setdefault((a, True), [0, 0])[int(t)] += 1
+            c = count.setdefault(a, [0, 0, 0, 0])
+            c[int(t)] += 1
+            c[2 + int(t)] += n > 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    tests = sum(c0 + c1 >= 3 for c0, c1 in count.values())
+    tests = sum((c[0] + c[1] >= 3) + (c[2] + c[3] >= 3) for c in count.values())
     found = set()
-    for (a, _), (c0, c1) in count.items():
-        if c1 < 3 or c1 / n1 < PURITY * c0 / n0:
-            continue
-        rate = (c0 + c1) / (n0 + n1)
-        gain = c1 * np.log(c1 / n1 / rate) + (c0 * np.log(c0 / n0 / rate) if c0 else 0.0)
-        if gain > np.log(max(2, tests)):
-            found.add(a)
+    for a, c in count.items():
+        for c0, c1 in (c[:2], c[2:]):
+            if c1 < 3 or c1 / n1 < PURITY * c0 / n0:
+                continue
+            rate = (c0 + c1) / (n0 + n1)
+            gain = c1 * np.log(c1 / n1 / rate) + (c0 * np.log(c0 / n0 / rate) if c0 else 0.0)
+            if gain > np.log(max(2, tests)):
+                found.add(a)
     return found
 
 
@@ -259,11 +260,7 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, epochs
     y, starts = np.concatenate(gold), np.concatenate(starts)
     names: dict[str, int] = {}
     at = np.fromiter([names.setdefault(w, len(names)) for w in tokens], np.int64, len(tokens))
-    rows_of = np.array([features(normal(w)) for w in names], np.int64)
-    rounds = []
-    for out in LEFT_OUT:
-        rounds.append(rows_of.copy())
-        rounds[-1][:, list(out)] = 0
+    rows_of = np.array([features(normal(w)) for w in names], np.int32)
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     inside = ~starts[1:]
@@ -271,7 +268,8 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, epochs
     for epoch in range(epochs):
         # Words go without their more special features in turn, so that what they share
         # with words not met here has to tell the tags too.
-        seen = rounds[epoch % len(rounds)]
+        seen = rows_of.copy()
+        seen[:, list(LEFT_OUT[epoch % len(LEFT_OUT)])] = 0
         e = weights[seen].sum(1)[at]
         p, pairs, _ = marginals(e, starts, trans)
         by_word = np.bincount(at, y - p, len(names))
