@@ -1,17 +1,20 @@
 """Language identification by a byte convolutional network.
 
-A text is cut into windows of WINDOW bytes (all of them, the last one padded).  Filters of
+A text is cut into windows of WINDOW bytes (all of them, the last one padded), each begun so
+far before the end of the one before that no filter misses a cut.  Filters of
 several widths slide over the bytes, their responses are rectified and max-pooled, and a
 softmax over the pooled features gives each window's languages.  A text's language is the
 one with the largest mean probability over its windows.  Byte embeddings are folded into
 the filters, so a filter of width w is w tables of 256 rows.
 
-The network is trained in numpy on a bounded sample (PER_LANG documents a language, TRAIN_WINDOWS
-windows each; documented limits on fitting only).
+The network is trained in numpy on a bounded sample (PER_LANG documents of each of the
+MOST_LANGS most frequent languages, TRAIN_WINDOWS windows each; documented limits on fitting
+only).
 
-Defined results: a text that is null or has no letter gets `und` with score 0.0; so does
+Defined results: a text that is null or has no letter (no code point of the Unicode
+categories L) gets `und` with score 0.0; so does
 every text when no labelled text was learned from; repeated rows are judged alike; an empty
-table gives an empty result.
+table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,19 +32,26 @@ from lodestone.llm.text import encode
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
+STRIDE = WINDOW - max(WIDTHS) + 1
 PER_LANG = 400
+MOST_LANGS = 500
 TRAIN_WINDOWS = 6
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]+")
 SHAPE = "lang_pred string, score double"
 
 
+def lettered(text: str | None) -> bool:
+    """Whether there is a letter; what the pattern finds may also be numbers such as ½."""
+    return any(c.isalpha() for m in WORDLIKE.finditer(text or "") for c in m[0])
+
+
 def cut_windows(data: bytes) -> np.ndarray:
     """All windows of a text's bytes, A-Z lower-cased, padded with zero bytes."""
     data = data.lower()
-    n = max(1, -(-len(data) // WINDOW))
-    out = np.zeros(n * WINDOW, np.uint8)
+    n = max(1, -(-(len(data) - WINDOW + STRIDE) // STRIDE))
+    out = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
     out[: len(data)] = np.frombuffer(data, np.uint8)
-    return out.reshape(n, WINDOW)
+    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STRIDE]
 
 
 @dataclass
@@ -79,7 +89,7 @@ class Network:
         return np.concatenate(out)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        blocks = [cut_windows(encode(t)) if t and LETTER.search(t) else None for t in texts]
+        blocks = [cut_windows(encode(t)) if lettered(t) else None for t in texts]
         flat = [b for b in blocks if b is not None]
         if not flat or not self.langs:
             return [("und", 0.0)] * len(texts)
@@ -148,21 +158,24 @@ def train(rows: list[tuple[str, str]], epochs: int = 12, seed: int = 7) -> Netwo
     return net
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network:
-    """From (doc_id, text, lang): at most per_lang documents of each language with a letter,
-    chosen by a hash of doc_id.  Languages are found in one aggregation."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in usable.select("lang").distinct().collect()]
-    rows: list[tuple[str, str]] = []
-    ids: list[tuple] = []
-    for lang in sorted(langs):
-        part = usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang).select("doc_id")
-        ids += [(r[0],) for r in part.collect()]
-    if ids:
-        chosen = docs.sparkSession.createDataFrame(ids, "doc_id long").distinct()
-        found = usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")
-        rows = [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: r[0]) if LETTER.search(r[1])]
-    return train(rows)
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Network:
+    """From (doc_id, text, lang): at most per_lang documents of each of the most_langs most
+    frequent languages, the first ones by a hash of doc_id.  A share of about twice as many
+    is read for that, so what is collected has a bound whatever a language's size."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    langs = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not langs:
+        return train([])
+    known = docs.sparkSession.createDataFrame([(r[0], min(1.0, (2 * per_lang + 50) / max(1, r[1]))) for r in langs], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place")
+    drawn = usable.select("doc_id", "lang", place).join(F.broadcast(known), "lang").filter(F.col("place") < F.col("share") * (1 << 30))
+    found: dict[str, list[tuple[int, int]]] = {}
+    for lang, place, doc_id in drawn.select("lang", "place", "doc_id").distinct().collect():
+        found.setdefault(lang, []).append((place, doc_id))
+    ids = sorted({doc_id for rows in found.values() for _, doc_id in sorted(rows)[:per_lang]})
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    texts = usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")
+    return train([(r[1], r[2]) for r in sorted(texts.collect(), key=lambda r: r[0]) if lettered(r[1])])
 
 
 def identify(net: Network, text: Column) -> Column:
