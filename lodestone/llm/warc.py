@@ -8,12 +8,14 @@ file with the same bytes.
 
 The reader needs no index: tasks get byte ranges of the archives, look for the gzip magic
 in them, accept a candidate only if it inflates to a WARC header, and own the records that
-start inside their range, reading past its end to finish the last one.
+start inside their range, reading past its end to finish the last one; the search goes on
+behind a record, not in it.  The list of archives and their ranges stays in Spark.
 
 Defined results: null html is an empty payload; null page_ids are kept (they refer to the
 largest page_id of their payload, if any is not null); rows with the same page_id and
 payload are all responses where they are the largest; an empty table writes no archive and
-gives an empty result; other columns are ignored.
+gives an empty result; a very long payload is one record, read whole by the task that owns
+it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import shared_dir
+from lodestone.llm.text import cut, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 16 << 20
 LEAST = 0
+#: Into how many parts the pages of one payload are split to meet its response.
+SALT = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -85,17 +89,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages with record_type and refers_to.  Only digests and page_ids are grouped; a
-    payload that many pages share is combined before the shuffle."""
+    payload that many pages share is combined before the shuffle, and its pages then meet
+    SALT copies of the outcome."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("_d"), F.octet_length(payload).alias("_n"))
-    shared = keyed.filter(F.col("_n") >= least).groupBy("_d").agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).filter("_c > 1").select(F.col("_d").alias("_k"), "_top")
-    joined = keyed.join(shared, (F.col("_d") == F.col("_k")) & (F.col("_n") >= least), "left")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).alias("_s")
+    keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("_d"), F.octet_length(payload).alias("_n"), salt)
+    shared = keyed.filter(F.col("_n") >= least).groupBy("_d").agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).filter("_c > 1")
+    shared = shared.select(F.col("_d").alias("_k"), "_top", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_t"))
+    joined = keyed.join(shared, (F.col("_d") == F.col("_k")) & (F.col("_s") == F.col("_t")) & (F.col("_n") >= least), "left")
     revisit = F.col("_k").isNotNull() & F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top"))
     return joined.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_top")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST) -> list[tuple[str, int]]:
-    """Writes archives to a shared folder (a URI) and returns (path, bytes) of each, one
+def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
+    """Writes archives to a shared folder (a URI) and gives (path, size) of each, one
     for each partition that has rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +124,8 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> list[tuple[str,
             store.move(temporary, posixpath.join(root, name))
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "size": [size]})
 
-    return [(r[0], r[1]) for r in roles(pages, least).withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string")).mapInPandas(run, "path string, size long").collect()]
+    cast = [F.col(c).cast("string").alias(c) if c in ("page_id", "refers_to") else c for c in ("page_id", "url", "html", "record_type", "refers_to")]
+    return cut(roles(pages, least).select(*cast).mapInPandas(run, "path string, size long"))
 
 
 def number(x) -> int | None:
@@ -135,8 +143,9 @@ def headers(raw: bytes) -> dict[str, str] | None:
     return {k.lower(): v for k, v in (f for f in fields if len(f) == 2)}
 
 
-def member(source, at: int, size: int) -> tuple[dict[str, str], bytes] | None:
-    """The record whose gzip member starts at a byte, or None if none does there."""
+def member(source, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
+    """The record whose gzip member starts at a byte, and the byte after it, or None if
+    none starts there."""
     inflate, raw, place = zlib.decompressobj(31), io.BytesIO(), at
     first = True
     while place < size and not inflate.eof:
@@ -153,7 +162,7 @@ def member(source, at: int, size: int) -> tuple[dict[str, str], bytes] | None:
         return None
     data = raw.getvalue()
     found = headers(data)
-    return (found, data.partition(b"\r\n\r\n")[2]) if found else None
+    return (found, data.partition(b"\r\n\r\n")[2], place - len(inflate.unused_data)) if found else None
 
 
 def scan(path: str, start: int, end: int) -> Iterator[tuple]:
@@ -161,25 +170,28 @@ def scan(path: str, start: int, end: int) -> Iterator[tuple]:
     store, local = fs.FileSystem.from_uri(path)
     with store.open_input_file(local) as source:
         size = source.size()
-        at = start
-        while at < min(end, size):
-            window = source.read_at(min(1 << 20, min(end, size) - at + len(MAGIC) - 1), at)
-            k = 0
-            while (k := window.find(MAGIC, k)) >= 0:
-                if at + k >= end:
-                    break
-                got = member(source, at + k, size)
-                if got is None:
-                    k += 1
-                    continue
-                yield at + k, *got
-                k += len(MAGIC)
-            at += max(1, len(window) - len(MAGIC) + 1)
-
-
-def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
-    """RECORD rows of (path, bytes) archives, a task for each byte range."""
-    ranges = [(p, a, min(a + split, n)) for p, n in archives for a in range(0, n, split)]
+        at, end = start, min(end, size)
+        step = 1 << 12  # A record mostly follows the one before, so little is read to see it.
+        while at < end:
+            window = source.read_at(min(step, end - at + len(MAGIC) - 1), at)
+            k = window.find(MAGIC)
+            if k < 0 or at + k >= end:
+                at += max(1, len(window) - len(MAGIC) + 1)
+                step = min(1 << 20, 4 * step)
+                continue
+            got = member(source, at + k, size)
+            if got is None:
+                at += k + 1
+                continue
+            yield at + k, *got[:2]
+            at, step = got[2], 1 << 12
+
+
+def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
+    """RECORD rows of archives (path, size), a task for each byte range."""
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start")
+    ranges = archives.filter("size > 0").select("path", "size", starts).select("path", "start", F.least("size", F.col("start") + split).alias("end"))
+    tasks = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
@@ -204,8 +216,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
                 if rows:
                     yield frame(rows)
 
-    frame = spark.createDataFrame(ranges, "path string, start long, end long")
-    return frame.repartition(max(1, len(ranges)), "path", "start").mapInPandas(run, RECORD)
+    return ranges.repartition(max(1, int(tasks)), "path", "start").mapInPandas(run, RECORD)
 
 
 def _int(x: str | None) -> int | None:
@@ -218,4 +229,4 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = LEAST) ->
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = "file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
-    return read(spark, write(pages, folder, least))
+    return read(write(pages, folder, least))
