@@ -18,8 +18,10 @@ without labels of both kinds every text gets the share of toxic labels (0.0 if n
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,10 @@ PIECE = 64
 BUCKETS = 1 << 17
 PURITY = 5
 WIDTH = 6
+AFFIXES = 4
+#: Tokens that training works on at a time, and parts in which the sample comes to the driver.
+BLOCK = 1 << 16
+PARTS = 8
 #: What the rounds of training leave out in turn: nothing, identity, identity and suffix, and
 #: these with the longest prefix.
 LEFT_OUT = ((), (0,), (0, 4), (0, 3, 4))
@@ -196,108 +202,205 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, p.max() if len(p) else 0.0, np.log1p(p[p > 0.5].sum()) if len(p) else 0.0])
 
 
-def seeds(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words and prefixes that mark toxic documents: at equal class sizes PURITY times as
+class Sample:
+    """Texts to learn from: four bytes a token, and what each distinct token stands for.
+
+    Texts go once they are added, so that what the driver holds is a small part of them."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.toxic: list[bool] = []
+        self.traits, self.names = array("i"), array("Q")
+        self.ends = bytearray()
+
+    def add(self, text: str | None, toxic: bool) -> None:
+        import xxhash
+
+        tokens = TOKEN.findall(text or "")
+        at = array("i")
+        for token in tokens:
+            k = self.numbers.get(token)
+            if k is None:
+                k = self.numbers[token] = len(self.numbers)
+                word = normal(token)
+                held = [xxhash.xxh3_64_intdigest(x) or 1 for x in affixes(word)] if len(word) >= 3 else []
+                self.traits.extend(features(word))
+                self.names.extend(held + [0] * (AFFIXES - len(held)))
+                self.ends.append(token[-1] in ".!?")
+            at.append(k)
+        self.texts.append(np.array(at, np.int32))
+        self.toxic.append(bool(toxic))
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct token: features, numbers of affixes (0: none), whether it ends a
+        sentence.  The tokens themselves go."""
+        self.numbers = {}
+        names = np.frombuffer(self.names, np.uint64)
+        distinct = np.unique(np.append(names, np.uint64(0)))
+        numbers = np.searchsorted(distinct, names).astype(np.int32).reshape(-1, AFFIXES)
+        traits, ends = np.frombuffer(self.traits, np.int32), np.frombuffer(self.ends, bool)
+        self.traits, self.names, self.ends = array("i"), array("Q"), bytearray()
+        return traits.reshape(-1, WIDTH), numbers, ends
+
+
+def seeds(texts: list[np.ndarray], toxic: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which words and prefixes mark toxic documents: at equal class sizes PURITY times as
     many toxic documents would have them, or have them more than once, as others, beyond
     chance (a log-likelihood ratio above the logarithm of the number of features tried).
-    Equal texts count once."""
-    count: dict[str, list[int]] = {}  # others and toxic ones that have it, and more than once
-    once = {tuple(tokens): (tokens, t) for tokens, t in zip(texts, toxic, strict=True)}
-    for tokens, t in once.values():
-        held: dict[str, int] = {}
-        for w, n in Counter(normal(w) for w in tokens).items():
-            if len(w) >= 3:
-                for a in affixes(w):
-                    held[a] = held.get(a, 0) + n
-        for a, n in held.items():
-            c = count.setdefault(a, [0, 0, 0, 0])
-            c[int(t)] += 1
-            c[2 + int(t)] += n > 1
+    names: the numbers of each token's affixes.  Equal texts count once."""
+    count = np.zeros((4, 1 + int(names.max(initial=0))), np.int32)  # others and toxic ones that have it, and more than once
+    once = {hashlib.sha256(x.tobytes()).digest(): k for k, x in enumerate(texts)}
+    for k in once.values():
+        words, n = np.unique(texts[k], return_counts=True)
+        held, place = np.unique(names[words], return_inverse=True)
+        n = np.bincount(place.ravel(), np.repeat(n, AFFIXES), len(held))
+        t = int(toxic[k])
+        count[t, held] += 1
+        count[2 + t, held[n > 1]] += 1
+    count[:, 0] = 0
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    tests = sum((c[0] + c[1] >= 3) + (c[2] + c[3] >= 3) for c in count.values())
-    found = set()
-    for a, c in count.items():
-        for c0, c1 in (c[:2], c[2:]):
-            if c1 < 3 or c1 / n1 < PURITY * c0 / n0:
-                continue
-            rate = (c0 + c1) / (n0 + n1)
-            gain = c1 * np.log(c1 / n1 / rate) + (c0 * np.log(c0 / n0 / rate) if c0 else 0.0)
-            if gain > np.log(max(2, tests)):
-                found.add(a)
+    tests = int((count[0] + count[1] >= 3).sum() + (count[2] + count[3] >= 3).sum())
+    found = np.zeros(count.shape[1], bool)
+    for c0, c1 in (count[:2], count[2:]):
+        tried = np.flatnonzero((c1 >= 3) & (c1 / n1 >= PURITY * c0 / n0))
+        c0, c1 = c0[tried], c1[tried]
+        rate = (c0 + c1) / (n0 + n1)
+        gain = c1 * np.log(c1 / n1 / rate) + np.where(c0 > 0, c0 * np.log(np.maximum(c0, 1) / n0 / rate), 0.0)
+        found[tried[gain > np.log(max(2, tests))]] = True
     return found
 
 
-def train(rows: list[tuple[str | None, int]], share: float | None = None, epochs: int = 60, rate: float = 0.3) -> Model:
+def blocks(starts: np.ndarray) -> list[slice]:
+    """Whole chains laid end to end, BLOCK tokens at a time or, if it is longer, one chain."""
+    chain = np.append(np.flatnonzero(starts), len(starts))
+    out, i = [], 0
+    while i < len(chain) - 1:
+        j = max(i + 1, int(np.searchsorted(chain, chain[i] + BLOCK, side="right")) - 1)
+        out.append(slice(int(chain[i]), int(chain[j])))
+        i = j
+    return out
+
+
+def emissions(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log-odds of each distinct token, a block of them at a time."""
+    return np.concatenate([np.zeros(0), *(weights[rows[k : k + BLOCK]].sum(1) for k in range(0, len(rows), BLOCK))])
+
+
+def train(rows: Iterable[tuple[str | None, int]], share: float | None = None, epochs: int = 60, rate: float = 0.3) -> Model:
     """Fits the field by adaptive gradients on chains that hold a labelled toxic token and
     four times as many tokens of others, and the document link on all sampled documents,
     weighted so that `share` of them (as in the sample, if not given) are toxic."""
-    texts = [TOKEN.findall(t or "") for t, _ in rows]
-    toxic = np.array([bool(y) for _, y in rows], bool)
-    sampled = float(toxic.mean()) if len(rows) else 0.0
+    sample = Sample()
+    for text, label in rows:
+        sample.add(text, label)
+    return learn(sample, share, epochs, rate)
+
+
+def learn(sample: Sample, share: float | None = None, epochs: int = 60, rate: float = 0.3) -> Model:
+    """`train` on texts that were added one by one."""
+    texts, toxic = sample.texts, np.array(sample.toxic, bool)
+    sampled = float(toxic.mean()) if len(texts) else 0.0
     share = sampled if share is None else share
     blank = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(3), share)
     if not toxic.any() or toxic.all():
         return blank
-    marks = seeds(texts, toxic)
-    if not marks:
+    traits, names, ends = sample.close()
+    marks = seeds(texts, toxic, names)
+    if not marks.any():
         return blank
-    tagged: dict[str, bool] = {}
+    tagged = marks[names].any(1)
+    del names
+
+    def begins(words: np.ndarray) -> np.ndarray:
+        s = np.ones(len(words), bool)
+        s[1:] = ends[words[:-1]]
+        return s
+
     tokens, gold, starts = [], [], []
     spare = 0
-    for words, t in sorted(zip(texts, toxic, strict=True), key=lambda x: not x[1]):
-        if not words:
+    for k in np.argsort(~toxic, kind="stable"):
+        words, t = texts[k], toxic[k]
+        if not len(words):
             continue
-        y = np.array([tagged[w] if w in tagged else tagged.setdefault(w, any(a in marks for a in affixes(normal(w)))) for w in words])
-        s = segments(words)
+        y, s = tagged[words], begins(words)
         cut = np.append(np.flatnonzero(s), len(words))
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             hot = y[i:j].any()
             if (hot and t) or spare > 0:
                 spare += 4 * (j - i) if hot and t else -(j - i)
-                tokens += words[i:j]
+                tokens.append(words[i:j])
                 gold.append(y[i:j] & t)
                 starts.append(s[i:j])
     y, starts = np.concatenate(gold), np.concatenate(starts)
-    names: dict[str, int] = {}
-    at = np.fromiter([names.setdefault(w, len(names)) for w in tokens], np.int64, len(tokens))
-    rows_of = np.array([features(normal(w)) for w in names], np.int32)
+    used, at = numbered(np.concatenate(tokens), len(traits))
+    del tokens, gold
+    rows_of = traits[used]
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     inside = ~starts[1:]
     gold_pairs = np.array([[(inside & (y[:-1] == i) & (y[1:] == j)).sum() for j in range(2)] for i in range(2)], float)
+    parts = blocks(starts)
     for epoch in range(epochs):
         # Words go without their more special features in turn, so that what they share
         # with words not met here has to tell the tags too.
         seen = rows_of.copy()
         seen[:, list(LEFT_OUT[epoch % len(LEFT_OUT)])] = 0
-        e = weights[seen].sum(1)[at]
-        p, pairs, _ = marginals(e, starts, trans)
-        by_word = np.bincount(at, y - p, len(names))
-        grad = np.bincount(seen.ravel(), np.repeat(by_word, WIDTH), BUCKETS) - 0.02 * weights
+        e = emissions(weights, seen)
+        by_word, pairs = np.zeros(len(used)), np.zeros((2, 2))
+        for part in parts:
+            p, moved, _ = marginals(e[at[part]], starts[part], trans)
+            by_word += np.bincount(at[part], y[part] - p, len(used))
+            pairs += moved
+        grad = -0.02 * weights
+        for k in range(WIDTH):
+            grad += np.bincount(seen[:, k], by_word, BUCKETS)
         grad[0] = 0.0
         g2 += grad * grad
         weights += rate * grad / np.sqrt(g2)
         tgrad = gold_pairs - pairs - 0.1 * trans
         t2 += tgrad * tgrad
         trans += rate * tgrad / np.sqrt(t2)
-    model = Model(weights, trans, np.zeros(3))
-    x = np.array([summary(p) for p in model.chances(texts)])
+    e = emissions(weights, traits)
+    x = np.empty((len(texts), 3))
+    sizes = np.cumsum([len(words) for words in texts])
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(sizes, sizes[i] - len(texts[i]) + BLOCK, side="right")))
+        flat = np.concatenate(texts[i:j])
+        p, _, _ = marginals(e[flat], np.concatenate([begins(words) for words in texts[i:j]]), trans)
+        x[i:j] = [summary(q) for q in np.split(p, np.cumsum([len(words) for words in texts[i:j]])[:-1])]
+        i = j
     link, prior = np.zeros(3), np.array([0.01, 0.01, 0.01])
     weight = np.where(toxic, share / sampled, (1 - share) / (1 - sampled))
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ link, -30, 30)))
         step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(prior), x.T @ (weight * (toxic - q)) - prior * link)
         link = link + np.clip(step, -4, 4)
-    model.link = link
-    return model
+    return Model(weights, trans, link)
+
+
+def numbered(tokens: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur, of `distinct` ones, as they first come, and the place of each
+    token among them."""
+    first = np.full(distinct, len(tokens), np.int32)
+    for k in reversed(range(0, len(tokens), BLOCK)):
+        part = tokens[k : k + BLOCK]
+        first[part[::-1]] = np.arange(k + len(part) - 1, k - 1, -1, dtype=np.int32)
+    used = np.flatnonzero(first < len(tokens))
+    used = used[np.argsort(first[used])]
+    rank = np.zeros(distinct, np.int32)
+    rank[used] = np.arange(len(used), dtype=np.int32)
+    return used, rank[tokens]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From docs (doc_id, text) and labels (doc_id, toxic): at most `sample` documents of
     each class, chosen by a hash of doc_id, so that the same tables give the same model.
-    Only ids are joined and sorted; texts are read for the chosen ones."""
+    Only ids are joined and sorted; texts are read for the chosen ones.  Rows of one doc_id
+    are one document, with the least of their texts."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
-    there = docs.select("doc_id").join(known, "doc_id")
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     ids: dict[int, int] = {}
     counts = {r[0]: r[1] for r in there.groupBy("y").count().collect()}
     for y in (0, 1):
@@ -305,9 +408,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not ids:
         return train([])
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(((r[0], r[1] or "", r[2]) for r in texts.select("doc_id", "text", "y").collect()), key=lambda r: (r[0], r[1]))
-    return train([(t, y) for _, t, y in {r[0]: r for r in reversed(rows)}.values()], counts.get(1, 0) / sum(counts.values()))
+    # Texts come to the driver one a document, a part at a time, and go once they are read.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).coalesce(PARTS)
+    read, came = Sample(), []
+    for doc_id, text, y in least.toLocalIterator():
+        read.add(text, y)
+        came.append(doc_id)
+    order = sorted(range(len(came)), key=lambda k: -came[k])
+    read.texts, read.toxic = [read.texts[k] for k in order], [read.toxic[k] for k in order]
+    return learn(read, counts.get(1, 0) / sum(counts.values()))
 
 
 def tag(model: Model, text: Column, spans: bool = True) -> Column:

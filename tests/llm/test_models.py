@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -136,6 +137,31 @@ def test_toxicity_learns_words_and_prefixes():
     assert toxicity.train([]).fallback == 0.0 and toxicity.train([("a", 1)]).fallback == 1.0
 
 
+def test_toxicity_training_holds_little():
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20_000)]
+    rows = [(" ".join(rng.choices(plain, k=999) + ["scum."] * (k % 4 == 0)), int(k % 4 == 0)) for k in range(200)]
+    toxicity.train(rows[:8], epochs=1)
+    tracemalloc.start()
+    try:
+        model = toxicity.train(rows, epochs=4)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.fallback is None and most < 24e6  # 20,000 distinct ones of 200,000 tokens
+
+
+def test_toxicity_trains_in_blocks(monkeypatch):
+    rng = random.Random(10)
+    rows = [(" ".join(rng.choice("abcdef") * 4 + rng.choice(["", "", "."]) for _ in range(60)) + " scum" * (k % 3 == 0), int(k % 3 == 0)) for k in range(60)]
+    whole = toxicity.train(rows)
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    parts = toxicity.train(rows)
+    assert whole.fallback is None and np.allclose(whole.weights, parts.weights) and np.allclose(whole.trans, parts.trans) and np.allclose(whole.link, parts.link)
+    used, at = toxicity.numbered(np.array([5, 2, 5, 9, 2] * 30, np.int32), 11)
+    assert used.tolist() == [5, 2, 9] and at.tolist() == [0, 1, 0, 2, 1] * 30
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
 

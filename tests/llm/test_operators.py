@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +235,21 @@ def test_toxicity_over_tables(spark, docs):
     assert all(r.text[s.start : s.end] == "scum" for r in out for s in r.spans)
 
 
+def test_toxicity_brings_one_text_a_document(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    marked = docs.select("doc_id", F.when((F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 60), F.concat(F.lit("scum "), "text")).otherwise(F.col("text")).alias("text"))
+    # Many rows of one doc_id, each with a text greater than its first one.
+    copies = spark.range(3000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("~"), F.repeat(F.md5(F.col("id").cast("string")), 300)).alias("text"))
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(marked.union(copies), labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    once = toxicity.fit(marked, labels)
+    assert most < 12e6 and np.array_equal(model.weights, once.weights)
+
+
 def test_decontamination(spark, docs):
     item = " ".join(f"q{i}" for i in range(20))
     more = spark.createDataFrame([(500, "w1 w2 " + item.upper() + " w3", "en", "s0", 0), (None, item, "en", "s0", 0)], DOCS)
